@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.bpe import bpe_digests
 from seqloom.llm.exact_dedup import exact_dedup
+from seqloom.llm.html_text import extract_main_text
+from seqloom.llm.langid import identify_languages
+from seqloom.llm.licenses import scan_licenses
+from seqloom.llm.quality import score_quality
 from seqloom.llm.sharding import assign_shards
 from seqloom.llm.shared import table
 
@@ -20,6 +24,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,6 +53,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
+    "op5_html_text": op5_html_text,
+    "op7_license_scan": op7_license_scan,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
