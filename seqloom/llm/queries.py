@@ -11,6 +11,7 @@ from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.html_text import extract_main_text
 from seqloom.llm.langid import identify_languages
 from seqloom.llm.licenses import scan_licenses
+from seqloom.llm.ngram_join import jaccard_components
 from seqloom.llm.quality import score_quality
 from seqloom.llm.sharding import assign_shards
 from seqloom.llm.shared import table
@@ -24,6 +25,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op5_html_text": op5_html_text,
@@ -63,6 +69,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+          FROM documents
+        ),
+        s AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                 ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS shingles
+          FROM w
+        ),
+        n AS (SELECT doc_id, len(shingles) AS n FROM s),
+        x AS (SELECT doc_id, hash(shingle) AS shingle FROM (SELECT doc_id, unnest(shingles) AS shingle FROM s)),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS low FROM n UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node AND r.low < e.b)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY 1, 2
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id,
