@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.bpe import bpe_digests
+from seqloom.llm.decontaminate import find_leaks
 from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.html_text import extract_main_text
 from seqloom.llm.langid import identify_languages
@@ -41,6 +42,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op5_html_text": op5_html_text,
+    "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
