@@ -4,7 +4,7 @@ For each word the tree's leaves hold the rank of the merge of a symbol with its
 root names the lowest rank and, of equal ones, the leftmost; merging there changes two leaves, so each merge costs
 the logarithm of the word's length, whatever the word's length. Merging ends when the root has no rank.
 
-Words are encoded once per worker and kept in a table of bounded size, which is emptied when full.
+A worker keeps the words it has encoded lately in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -13,45 +13,20 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_CACHE = 400_000  # words kept per worker
+WORD_CACHE = 300_000  # words in each half of a worker's tables
 LONG_WORD = 256  # longer ones are encoded anew each time
 NONE = 1 << 60
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class PairTree:
-    """Leaves hold rank * size + position; each inner node the least of its two children."""
-
-    def __init__(self, ranks: list[int]):
-        size = 1
-        while size < len(ranks):
-            size *= 2
-        self.size = size
-        self.node = [NONE] * (2 * size)
-        for i, rank in enumerate(ranks):
-            if rank >= 0:
-                self.node[size + i] = rank * size + i
-        for i in range(size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
-
-    def put(self, at: int, rank: int) -> None:
-        node, i = self.node, self.size + at
-        node[i] = rank * self.size + at if rank >= 0 else NONE
-        while i > 1:
-            i //= 2
-            least = min(node[2 * i], node[2 * i + 1])
-            if node[i] == least:
-                break
-            node[i] = least
-
-
 class WordBPE:
     """The tokenizer that a tokenizers file describes: NFC, lower case, words, bytes as characters, BPE with word ends."""
 
@@ -63,77 +38,145 @@ class WordBPE:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] if x["special"]}
         self.token = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (left, right) in enumerate(model["merges"]):
-            self.merges[self.vocab[left], self.vocab[right]] = rank, self.vocab[left + right]
+        self.rank_of = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(model["merges"])}
+        self.made = [self.vocab[a + b] for a, b in model["merges"]]
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.alphabet = byte_alphabet()
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.inner = [self.vocab.get(c) for c in byte_alphabet()]
+        self.last = [self.vocab.get(c + self.end) for c in byte_alphabet()]
+        self.decimal = {i: str(i) for i in self.token}
+        self.chunks, self.words_seen = Recent(WORD_CACHE), Recent(WORD_CACHE)
 
     def merged(self, symbols: list[int]) -> list[int]:
-        """The ids that are left when no adjacent pair has a merge."""
-        merges, n = self.merges, len(symbols)
-        none = (-1, 0)
-        tree = PairTree([merges.get((symbols[i], symbols[i + 1]), none)[0] for i in range(n - 1)])
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        while (best := tree.node[1]) != NONE:
-            at = best % tree.size
+        """The ids that are left when no adjacent pair has a merge.
+
+        node is the tree: leaf i, at size + i, holds the rank of the pair that begins with symbol i, followed by i in
+        the low bits; an inner node holds the lesser of its two children, and node[1] the next merge.
+        """
+        rank_of, made, n = self.rank_of.get, self.made, len(symbols)
+        bits = (n - 2).bit_length()
+        size = 1 << bits
+        node = [NONE] * (2 * size)
+        at = size
+        for pair in zip(symbols, symbols[1:], strict=False):
+            if (rank := rank_of(pair)) is not None:
+                node[at] = rank << bits | at - size
+            at += 1
+        for i in range(size - 1, 0, -1):
+            x, y = node[2 * i], node[2 * i + 1]
+            node[i] = x if x < y else y
+        if node[1] == NONE:
+            return symbols
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while (best := node[1]) != NONE:
+            at = best & (size - 1)
             gone = after[at]
-            symbols[at] = merges[symbols[at], symbols[gone]][1]
-            alive[gone] = False
-            after[at] = after[gone]
-            if after[gone] < n:
-                before[after[gone]] = at
-            if gone < n - 1:
-                tree.put(gone, -1)
-            tree.put(at, merges.get((symbols[at], symbols[after[at]]), none)[0] if after[at] < n else -1)
-            if before[at] >= 0:
-                tree.put(before[at], merges.get((symbols[before[at]], symbols[at]), none)[0])
-        return [s for s, a in zip(symbols, alive, strict=True) if a]
+            symbols[at] = made[best >> bits]
+            beyond = after[at] = after[gone]
+            changed = [(at, NONE)]
+            if beyond < n:
+                before[beyond] = at
+                changed.append((gone, NONE))
+                if (rank := rank_of((symbols[at], symbols[beyond]))) is not None:
+                    changed[0] = (at, rank << bits | at)
+            if (first := before[at]) >= 0:
+                rank = rank_of((symbols[first], symbols[at]))
+                changed.append((first, NONE if rank is None else rank << bits | first))
+            for i, least in changed:
+                i += size
+                if node[i] == least:
+                    continue
+                node[i] = least
+                while i > 1:
+                    beside = node[i ^ 1]
+                    if beside < least:
+                        least = beside
+                    i >>= 1
+                    if node[i] == least:
+                        break
+                    node[i] = least
+        at, out = 0, []
+        while at < n:
+            out.append(symbols[at])
+            at = after[at]
+        return out
 
     def word(self, word: str) -> list[int]:
         """The ids of one pre-token; bytes without an entry in the vocabulary have none."""
-        chars = [self.alphabet[b] for b in word.encode()]
-        if self.end:
-            chars[-1] += self.end
-        symbols = [i for c in chars if (i := self.vocab.get(c)) is not None]
+        data = word.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        if None in symbols:
+            symbols = [i for i in symbols if i is not None]
         return self.merged(symbols) if len(symbols) > 1 else symbols
 
     def plain(self, text: str) -> list[int]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [i for w in self.words.findall(text) for i in self.word(w)]
-
-    def chunk(self, chunk: str) -> tuple[str, int, str]:
-        """A text without white space: its ids as decimals, their number, and its decoding."""
-        ids: list[int] = []
-        for part in self.specials.split(chunk) if "<|" in chunk else (chunk,):
-            ids += [self.special[part]] if part in self.special else self.plain(part)
-        return " ".join(map(str, ids)), len(ids), self.decode(ids)
+        """The ids of a text without special tokens."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        out: list[int] = []
+        for w in self.words.findall(text.lower()):
+            ids = self.words_seen.get(w)
+            if ids is None:
+                ids = self.word(w)
+                self.words_seen.put(w, ids)
+            out += ids
+        return out
+
+    def chunk_ids(self, chunk: str) -> list[int]:
+        """The ids of a text without white space."""
+        if "<|" not in chunk:
+            return self.plain(chunk)
+        return [i for part in self.specials.split(chunk) for i in ([self.special[part]] if part in self.special else self.plain(part))]
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding without a decoder: the tokens, joined by a space."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        return " ".join([self.token[i] for i in ids if i in self.token])
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for c in SPACE.split(text or "") if c for i in self.chunk(c)[0].split()]
+        return [i for c in split(text or "") for i in self.chunk_ids(c)]
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text."""
-        cache, ids, said, n = self.cache, [], [], 0
-        for chunk in SPACE.split(text or ""):
-            got = cache.get(chunk)
-            if got is None:
-                got = self.chunk(chunk) if chunk else ("", 0, "")
-                if len(chunk) <= LONG_WORD:
-                    if len(cache) >= WORD_CACHE:
-                        cache.clear()
-                    cache[chunk] = got
-            if got[1]:
-                ids.append(got[0])
-                n += got[1]
-                said.append(got[2])
-        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(said).encode()).hexdigest()
+        chunks = split(text or "")
+        rows = list(map(self.chunks.new.get, chunks))
+        if None in rows:
+            decimal, token = self.decimal, self.token
+            for k, row in enumerate(rows):
+                if row is None:
+                    row = self.chunks.get(chunks[k])
+                    if row is None:
+                        ids = self.chunk_ids(chunks[k])
+                        row = " ".join([decimal[i] for i in ids]), len(ids), " ".join([token[i] for i in ids])
+                    self.chunks.put(chunks[k], row)
+                    rows[k] = row
+        ids, counts, said = zip(*rows, strict=True) if rows else ((), (), ())
+        if 0 in counts:
+            ids, said = filter(None, ids), filter(None, said)
+        return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(said).encode()).hexdigest()
+
+
+def split(text: str) -> list[str]:
+    """What white space separates; str.split() knows four separators more."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [c for c in SPACE.split(text) if c]
+    return text.split()
+
+
+class Recent:
+    """A table of at most 2 * size entries: when the new half is full it becomes the old half, and the old one goes."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> Any:
+        return self.new.get(key) or self.old.get(key)
+
+    def put(self, key: str, value: Any) -> None:
+        if len(key) <= LONG_WORD:
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
 
 
 def byte_alphabet() -> list[str]:

@@ -54,9 +54,9 @@ def test_bpe_merges_like_a_plain_loop():
     for _ in range(500):
         word = "".join(r.choice("theaninorst") for _ in range(r.randint(1, 30)))
         ids = [bpe.vocab[c] for c in word[:-1]] + [bpe.vocab[word[-1] + "</w>"]]
-        while pairs := [(bpe.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in bpe.merges]:
-            i = min(pairs)[1]
-            ids[i : i + 2] = [bpe.merges[ids[i], ids[i + 1]][1]]
+        while pairs := [(bpe.rank_of[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in bpe.rank_of]:
+            rank, i = min(pairs)
+            ids[i : i + 2] = [bpe.made[rank]]
         assert bpe.word(word) == ids
 
 
