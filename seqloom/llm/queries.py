@@ -15,6 +15,7 @@ from seqloom.llm.licenses import scan_licenses
 from seqloom.llm.ngram_join import jaccard_components
 from seqloom.llm.quality import score_quality
 from seqloom.llm.sharding import assign_shards
+from seqloom.llm.secret_scan import scan_secrets
 from seqloom.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +27,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
