@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.shared import materialise, rows_with
 from seqloom.llm.words import batch_words, mix, not_alphanumeric
 
 EDITS = 0.1
@@ -209,5 +210,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs without an item in them, all columns as they are. Rows without doc_id stay."""
-    leaks = find_leaks(docs, benchmark, text, doc_id).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(leaks, doc_id, "left_anti").select(docs.columns)
+    leaks = find_leaks(docs, benchmark, text, doc_id).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
+    return rows_with(docs, materialise(leaks, "leaks"), "left_anti", doc_id)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import materialise, partitions, whole_text
+from seqloom.llm.shared import materialise, partitions, rows_with, whole_text
 
 FAN_IN = 16
 KEY = ["digest", "n_bytes", "check"]
@@ -91,6 +91,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id stays under exact_dedup(), all columns as they are. Rows without doc_id go."""
-    kept = exact_dedup(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi").select(docs.columns)
+    """The rows of docs whose doc_id stays under exact_dedup(), all columns as they are.
+
+    Rows repeated with one doc_id and text stay or go together. Rows without doc_id stay.
+    """
+    verdict = exact_dedup(docs, text, doc_id).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = materialise(verdict.filter("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias(doc_id)), "copies")
+    return rows_with(docs, gone, "left_anti", doc_id)

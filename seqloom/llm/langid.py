@@ -157,6 +157,21 @@ def fit_on(docs: DataFrame, text: str, lang: str, doc_id: str, sample: int = SAM
 LETTER = regex.compile(r"\p{L}")
 
 
+def judge(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, whether rejected) of each text."""
+    n = len(column)
+    if not model or not n:
+        return ["und"] * n, np.zeros(n), np.ones(n, bool)
+    data, offsets = text_bytes(column)
+    best, score, known = model.predict(data, offsets)
+    letter = np.cumsum(np.concatenate([[0], ((data | 32) >= 97) & ((data | 32) <= 122)]))
+    has = letter[offsets[1:]] > letter[offsets[:-1]]
+    for i in np.flatnonzero(~has):
+        has[i] = bool(LETTER.search(column[i].as_py() or ""))
+    said = [model.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
+    return said, np.round(np.where(has, score, 0.0), 6), ~has | (score < model.least_score) | (known < model.least_known)
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, rejected.
 
@@ -167,22 +182,29 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", doc_id: s
     ship = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = ship.value
         for batch in batches:
-            column = batch.column(2)
-            data, offsets = text_bytes(column)
-            n = len(column)
-            best, score, known = m.predict(data, offsets) if m and n else (np.zeros(n, int), np.zeros(n), np.zeros(n))
-            letter = np.cumsum(np.concatenate([[0], ((data | 32) >= 97) & ((data | 32) <= 122)]))
-            has = letter[offsets[1:]] > letter[offsets[:-1]]
-            has = np.array([h or bool(t and LETTER.search(t)) for h, t in zip(has, (column[i].as_py() if not has[i] else None for i in range(n)), strict=True)], bool) & bool(m)
-            pred = [m.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
-            reject = ~has | ((score < m.least_score) | (known < m.least_known) if m else True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.round(np.where(has, score, 0.0), 6)), pa.array(reject)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            said, score, rejected = judge(ship.value, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id, FOLDS) == 0).alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of docs whose text identify() doesn't reject, all columns as they are."""
+    ship, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~judge(ship.value, batch.column(place))[2], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def known_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """accepted() with a model fitted on rows whose crc32(doc_id) modulo 5 isn't 0."""
+    return accepted(docs, fit_on(docs.filter(fold(doc_id, FOLDS) != 0), text, lang, doc_id, sample), text)
+
+
 def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """identify() with a model fitted on rows whose crc32(doc_id) modulo 5 isn't 0."""
     return identify(docs, fit_on(docs.filter(fold(doc_id, FOLDS) != 0), text, lang, doc_id, sample), text, doc_id)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.llm.shared import materialise, partitions
+from seqloom.llm.shared import materialise, partitions, rows_with
 from seqloom.llm.words import batch_words, mix, white_space
 
 SHINGLE = 5
@@ -34,7 +34,6 @@ STAR, NEAR = 3, 2
 FREQUENT_FROM = 24  # documents whose prefixes have the shingle
 FREQUENT = 1 << 18  # frequent shingles that are broadcast, 2 MB
 OPEN_ROWS = 1 << 20  # rows of one bucket that are held at once
-BROADCAST_IDS = 1_000_000  # ids that are broadcast at most; more are joined by shuffle
 FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -83,12 +82,6 @@ def docs_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or isn't (left_anti) in ids; ids are broadcast up to BROADCAST_IDS."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", how)
-
-
 def frequent_shingles(docs: DataFrame, k: int, percent: int) -> np.ndarray:
     """Sorted: the shingles that are in the most hash-ordered prefixes, FREQUENT at most."""
     none = np.zeros(0, np.uint64)
@@ -201,7 +194,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     """Of the pairs (a, b), those whose texts' whole shingle sets are similar, each once."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = only(docs, materialise(ids, "ids"), "left_semi")
+    texts = rows_with(docs, materialise(ids, "ids"), "left_semi")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
@@ -253,7 +246,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     leaders = members.filter("leader = doc_id").select("doc_id")
     rest = materialise(sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(leaders, "doc_id", "left_anti"), "rest")
-    dealt = prefix_rows(only(named, rest, "left_anti"), frequent, k, percent)
+    dealt = prefix_rows(rows_with(named, rest, "left_anti"), frequent, k, percent)
     limits = percent, BUCKET, STAR, NEAR, OPEN_ROWS
     found = materialise(dealt.repartition(partitions(spark), "token").sortWithinPartitions("token", "doc_id").mapInArrow(lambda batches: bucket_pairs(batches, *limits), "a long, b long, token long, n int, pos int"), "found")
 
@@ -300,4 +293,4 @@ def open_pairs(large: DataFrame, members: DataFrame, group_pairs: DataFrame, com
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest, all columns as they are. Rows without doc_id stay."""
     copies = jaccard_components(docs, text, doc_id).filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(copies, doc_id, "left_anti").select(docs.columns)
+    return rows_with(docs, materialise(copies, "near-copies"), "left_anti", doc_id)

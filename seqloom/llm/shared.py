@@ -52,3 +52,12 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
+
+
+BROADCAST_IDS = 1_000_000  # ids that are broadcast at most; more are joined by shuffle
+
+
+def rows_with(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """docs whose key is (left_semi) or isn't (left_anti) in ids, a written table; broadcast up to BROADCAST_IDS."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), key, how).select(docs.columns)
