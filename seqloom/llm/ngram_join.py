@@ -8,8 +8,9 @@ similarity of at least the threshold share a shingle within the prefixes of that
 2. Leaders are dealt out by prefix shingle. Each bucket yields the pairs of groups that the bounds on sizes and
    positions allow. From a bucket of more than BUCKET groups come a star (all with a few leaders) and neighbours first.
 3. Pairs of groups expand to pairs of members, whose whole sets are compared.
-4. Links give components. For large buckets and groups, all pairs whose components still differ are then compared too,
-   so that nothing is left out; members that a star has linked already need no further comparison.
+4. Links give components. Large buckets and groups then yield the pairs whose components still differ and that a bound
+   on their difference (a map of parities) can't rule out, so that nothing is left out; members that a star has linked
+   already need no further comparison.
 
 Which shingles count as frequent decides only the order, not the result; at most FREQUENT of them are broadcast.
 """
@@ -34,6 +35,8 @@ STAR, NEAR = 3, 2
 FREQUENT_FROM = 24  # documents whose prefixes have the shingle
 FREQUENT = 1 << 18  # frequent shingles that are broadcast, 2 MB
 OPEN_ROWS = 1 << 20  # rows of one bucket that are held at once
+MAP_BITS = 1024  # of the parity map of a set
+MAP = [f"m{i}" for i in range(MAP_BITS // 64)]
 FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -97,7 +100,8 @@ def frequent_shingles(docs: DataFrame, k: int, percent: int) -> np.ndarray:
 
 
 def read_sets(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set), group (of its prefix)."""
+    """doc_id, n, sig (of the whole set), grp (of its prefix), m0, m1, ... (parity map: for each value of some bits of
+    the hash, whether an odd number of shingles has it; two sets differ by at least as many shingles as their maps by bits)."""
 
     def digest(x: np.ndarray, salt: int) -> int:
         return int(mix(mix(x + np.uint64(salt)).sum(keepdims=True) + np.uint64(len(x))).view(np.int64)[0])
@@ -106,9 +110,11 @@ def read_sets(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
         for batch in batches:
             sets = batch_sets(batch.column(1), k)
             columns = [[len(s) for s in sets], [digest(s, 1) for s in sets], [digest(prefix(s, frequent.value, percent), 2) for s in sets]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n", "sig", "grp"])
+            odd = [np.bincount(((s >> np.uint64(20)) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 for s in sets]
+            maps = np.packbits(np.array(odd, np.uint8).reshape(-1, MAP_BITS), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *(pa.array(c) for c in maps.T)], ["doc_id", "n", "sig", "grp", *MAP])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, grp long")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, grp long" + "".join(f", {m} long" for m in MAP))
 
 
 def prefix_rows(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
@@ -256,7 +262,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     component = components(links)
 
     large = found.filter("b IS NULL")
-    late = materialise(open_pairs(large, members, group_pairs, component, percent).join(links, ["a", "b"], "left_anti"), "late")
+    late = materialise(open_pairs(large, sets, members, group_pairs, component, percent).join(links, ["a", "b"], "left_anti"), "late")
     if late.limit(1).count():
         component = components(links.union(verify(late, named, k, percent)))
 
@@ -268,25 +274,33 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     )
 
 
-def open_pairs(large: DataFrame, members: DataFrame, group_pairs: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs from large buckets and large groups whose components differ so far."""
+def open_pairs(large: DataFrame, sets: DataFrame, members: DataFrame, group_pairs: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs from large buckets and large groups whose components differ so far.
+
+    Buckets' groups expand to members here, so that the parity maps of their own sets can rule pairs out: similar sets
+    of n1 and n2 shingles differ by at most (100 - percent) / (100 + percent) of n1 + n2.
+    """
     part = component.select(F.col("node").alias("doc_id"), "component")
-    placed = large.select(F.col("a").alias("doc_id"), "token", "n", "pos").join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = large.select(F.col("a").alias("leader"), "token", "n", "pos").join(members.select("leader", "doc_id"), "leader").drop("leader")
+    placed = rows.join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    x = materialise(placed.join(several, "token", "left_semi"), "open")
-    y = x.select("token", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "component")))
-    total = F.col("n") + F.col("n_y")
+    maps = sets.filter("n > 0").select("doc_id", *MAP).distinct()
+    x = materialise(placed.join(several, "token", "left_semi").join(maps, "doc_id"), "open")
+    y = x.select("token", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "component", *MAP)))
+    total, apart = F.col("n") + F.col("n_y"), sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_y"))) for m in MAP)
     ok = (
         (F.col("component") != F.col("component_y"))
         & (F.col("doc_id") < F.col("doc_id_y"))
         & (percent * F.greatest("n", "n_y") <= 100 * F.least("n", "n_y"))
         & (F.least(F.col("n") - F.col("pos"), F.col("n_y") - F.col("pos_y")) * (100 + percent) >= percent * total)
+        & (apart * (100 + percent) <= (100 - percent) * total)
     )
-    from_buckets = x.join(y.hint("merge"), "token").filter(ok).select(F.col("doc_id").alias("a"), F.col("doc_id_y").alias("b")).distinct()
-    from_groups = expanded(group_pairs.join(members.filter(F.col("size") > BUCKET).select(F.col("leader").alias("a")).distinct(), "a", "left_semi").union(group_pairs.join(members.filter(F.col("size") > BUCKET).select(F.col("leader").alias("b")).distinct(), "b", "left_semi").select("a", "b")).distinct(), members).filter("NOT soon").select("a", "b")
-    more = expanded(from_buckets, members).select("a", "b")
+    from_buckets = x.join(y.hint("merge"), ["token"]).filter(ok).select(F.col("doc_id").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    many = members.filter(F.col("size") > BUCKET).select("leader").distinct()
+    of_many = group_pairs.join(many.withColumnRenamed("leader", "a"), "a", "left_semi").union(group_pairs.join(many.withColumnRenamed("leader", "b"), "b", "left_semi").select("a", "b")).distinct()
+    from_groups = expanded(of_many, members).filter("NOT soon").select("a", "b")
     first, second = part.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), part.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    every = more.union(from_groups).distinct().join(first, "a", "left").join(second, "b", "left")
+    every = from_buckets.union(from_groups).distinct().join(first, "a", "left").join(second, "b", "left")
     return every.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
