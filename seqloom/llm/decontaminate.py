@@ -4,7 +4,7 @@ Texts are sequences of words (letters and digits, A-Z lower-cased). An item of m
 of it is within EDITS * m word edits, rounded down, of the item.
 
 1. Windows: every word begins a window of each item's size. A window that is near an item keeps most of the item's
-   word pairs, so windows with fewer known pairs than edits can leave are no candidates; that loses none.
+   word pairs, so windows with fewer of an item's pairs than edits can leave are no candidates; that loses none.
 2. The CGK walk embeds a window: at each of 3m steps it writes the word it stands on and moves on or stays, as a random
    bit for step and word says. Sequences at a small edit distance walk into step with each other, so that their
    embeddings are at a small Hamming distance.
@@ -34,6 +34,7 @@ RECALL = 0.99
 HAMMING_SHARE = 0.4  # of an embedding, assumed at the largest distance
 SAMPLED = 3
 MIN_WORDS = 6
+COMMON = 32
 BLOCK = 20_000
 PAD = np.uint64(0)
 SCHEMA = "doc_id long, item_id long, distance int, first_word long"
@@ -57,7 +58,8 @@ def embed_keys(windows: np.ndarray, repetition: int, sampled: int = SAMPLED) ->
     steps = 3 * m
     r = np.random.default_rng([repetition, m])
     salt = r.integers(1, 1 << 63, steps, np.uint64) * np.uint64(2) + np.uint64(1)
-    chosen = np.sort(r.choice(steps, min(sampled, steps), replace=False))
+    informative = steps // 2  # by then a walk is about to end, and ended walks agree whatever they read
+    chosen = np.sort(r.choice(informative, min(sampled, informative), replace=False))
     padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], 1)
     at, key, every = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.arange(rows)
     for j in range(int(chosen[-1]) + 1):
@@ -86,6 +88,17 @@ def aligned(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     return cost[j], start[j]
 
 
+def slices(doc: np.ndarray, total: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Runs of entries, from a to before b, that end with a text and expand to about limit entries."""
+    a = 0
+    while a < len(doc):
+        done = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, done + limit, "right")))
+        b = int(np.searchsorted(doc, doc[b - 1], "right"))
+        yield a, b
+        a = b
+
+
 class Index:
     """A block of items, by size and by key of each repetition."""
 
@@ -97,10 +110,7 @@ class Index:
         for k, w in enumerate(self.words):
             if len(w) >= min_words:
                 self.by_size[len(w)].append(k)
-        pairs = [pair_hashes(self.words[k]) for ks in self.by_size.values() for k in ks]
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.pairs & np.uint64((1 << 20) - 1)] = True
+        self.set_pairs()
         self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
         for m, ks in self.by_size.items():
             for r in range(repetitions()):
@@ -108,71 +118,101 @@ class Index:
                 for k, key in zip(ks, embed_keys(np.stack([self.words[k] for k in ks]), r).tolist(), strict=True):
                     table[key].append(k)
 
-    def known_pairs(self, words: np.ndarray) -> np.ndarray:
-        """For each word, whether it and the next are a pair of some item."""
-        h = pair_hashes(words)
-        at = np.flatnonzero(self.maybe[h & np.uint64((1 << 20) - 1)])
-        out = np.zeros(len(words), bool)
-        if len(at):
-            out[at] = self.pairs[np.minimum(np.searchsorted(self.pairs, h[at]), len(self.pairs) - 1)] == h[at]
-        return out
+    def set_pairs(self) -> None:
+        """Word pairs with the items that count them, and how many of an item's a near window has at least.
+
+        A window d edits from the item keeps all but 2d of the item's pairs. Pairs of more than COMMON items don't count
+        for an item that can do without them.
+        """
+        used = np.array(sorted(k for ks in self.by_size.values() for k in ks), np.int64)
+        own = [pair_hashes(self.words[k]) for k in used]
+        values, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_inverse=True)
+        item = np.repeat(used, [len(x) for x in own])
+        in_items = np.bincount(np.unique(np.stack([of, item], 1), axis=0)[:, 0], minlength=len(values)) if len(of) else np.zeros(0, np.int64)
+        spare = np.array([4 * allowed(len(w), self.edits) for w in self.words], np.int64)
+        rare = in_items[of] <= COMMON
+        n_rare = np.bincount(item[rare], minlength=len(self.words))
+        n_all = np.bincount(item, minlength=len(self.words))
+        counts = rare | (n_rare - spare < 2)[item]
+        self.least = np.maximum(1, np.where(n_rare - spare < 2, n_all, n_rare) - spare)
+        entries = np.unique(np.stack([of[counts], item[counts]], 1), axis=0) if counts.any() else np.zeros((0, 2), np.int64)
+        kept, first = np.unique(entries[:, 0], return_index=True)
+        self.pairs, self.pair_items, self.pair_first = values[kept], entries[:, 1], np.append(first, len(entries))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.pairs & np.uint64((1 << 20) - 1)] = True
+        self.size = np.array([len(w) for w in self.words], np.int64)
 
     def windows(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each size of item, the starts of the windows within a text that keep enough known pairs."""
-        known = self.known_pairs(words)
-        known[bounds[1:-1][bounds[1:-1] > 0] - 1] = False
-        total = np.concatenate([[0], np.cumsum(known)])
-        doc_end = np.repeat(bounds[1:], np.diff(bounds))
-        least = {m: m - 1 - 2 * allowed(m, self.edits) - 2 * allowed(m, self.edits) for m in self.by_size}
-        per_doc = (total[bounds[1:]] - total[bounds[:-1]]) >= max(1, min(least.values(), default=1))
-        alive = np.flatnonzero(np.repeat(per_doc, np.diff(bounds)) & known)
-        for m in self.by_size:
-            k = allowed(m, self.edits)
-            # a window at the item's own place shares all but what its edits and its ends cost; begin up to k words ahead of a known pair
-            starts = np.unique(np.concatenate([alive, *(alive - s for s in range(1, 2 * k + 1))])) if k else alive
-            starts = starts[starts >= 0]
-            ends = np.minimum(starts + m, doc_end[starts])
-            enough = total[np.maximum(ends - 1, starts)] - total[starts] >= max(1, least[m])
-            yield m, starts[enough & (ends - starts >= m - k)]
+        """For each size of item, the starts of the windows that keep enough of some item's pairs."""
+        h = pair_hashes(words)
+        at = np.flatnonzero(self.maybe[h & np.uint64((1 << 20) - 1)])
+        if not len(at) or not len(self.pairs):
+            return
+        which = np.minimum(np.searchsorted(self.pairs, h[at]), len(self.pairs) - 1)
+        doc = np.searchsorted(bounds, at, "right") - 1
+        ok = (self.pairs[which] == h[at]) & (at + 1 < bounds[doc + 1])
+        at, which, doc = at[ok], which[ok], doc[ok]
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        each = self.pair_first[which + 1] - self.pair_first[which]
+        for a, b in slices(doc, np.cumsum(each)):
+            n = each[a:b]
+            back = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item = self.pair_items[np.repeat(self.pair_first[which[a:b]], n) + back]
+            pos, of = np.repeat(at[a:b], n), np.repeat(doc[a:b], n)
+            order = np.lexsort((pos, item, of))
+            item, pos, of = item[order], pos[order], of[order]
+            place = (of * len(self.words) + item) * (len(words) + 1) + pos
+            many = np.searchsorted(place, place + np.minimum(self.size[item] - 1, len(words) - pos)) - np.arange(len(place)) >= self.least[item]
+            for m in np.unique(self.size[item[many]]).tolist():
+                here = many & (self.size[item] == m)
+                k = allowed(m, self.edits)
+                starts = (pos[here][:, None] - np.arange(2 * k + 1)).ravel()
+                low = np.repeat(bounds[of[here]], 2 * k + 1)
+                found[m].append(starts[starts >= low])
+        for m, starts in found.items():
+            yield m, np.unique(np.concatenate(starts))
 
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, first word) for each text and item in it."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         padded = np.concatenate([words, np.zeros(1, np.uint64)])
         for m, starts in self.windows(words, bounds):
-            if not len(starts):
-                continue
-            doc = np.searchsorted(bounds, starts, "right") - 1
+            doc, k = np.searchsorted(bounds, starts, "right") - 1, allowed(m, self.edits)
             at = starts[:, None] + np.arange(m)
             windows = np.where(at < bounds[doc + 1][:, None], padded[np.minimum(at, len(words))], PAD)
-            seen: set[tuple[int, int]] = set()
-            k = allowed(m, self.edits)
+            pairs: set[tuple[int, int]] = set()
             for r in range(repetitions()):
                 table = self.keys[m, r]
-                for i, key in enumerate(embed_keys(windows, r).tolist()):
-                    for item in table.get(key, ()):
-                        if (i, item) in seen:
-                            continue
-                        seen.add((i, item))
-                        d, s = int(doc[i]), int(starts[i])
-                        low = int(bounds[d])
-                        got = best.get((d, item))
-                        if got and got[0] == 0:
-                            if s - low < got[1] and (windows[i] == self.words[item]).all():
-                                best[d, item] = 0, s - low
-                            continue
-                        if (windows[i] == self.words[item]).all():
-                            found = 0, s - low
-                        elif k:
-                            a = max(low, s - 2 * k)
-                            cost, begin = aligned(self.words[item], words[a : min(int(bounds[d + 1]), s + m + 2 * k)])
-                            found = cost, a + begin - low
-                        else:
-                            continue
-                        if found[0] <= k and (got is None or found < got):
-                            best[d, item] = found
+                pairs.update((i, item) for i, key in enumerate(embed_keys(windows, r).tolist()) if key in table for item in table[key])
+            near: dict[tuple[int, int], list[int]] = defaultdict(list)
+            for i, item in sorted(pairs):
+                near[int(doc[i]), item].append(i)
+            for (d, item), rows in near.items():
+                low, high = int(bounds[d]), int(bounds[d + 1])
+                same = (windows[rows] == self.words[item]).all(1)
+                if same.any():
+                    best[d, item] = 0, int(starts[rows[int(same.argmax())]]) - low
+                elif k:
+                    found = min(self.align(item, words, s, e, low) for s, e in stretches([(max(low, int(starts[i]) - 2 * k), min(high, int(starts[i]) + m + 2 * k)) for i in rows]))
+                    if found[0] <= k:
+                        best[d, item] = found
         return [(d, item, *found) for (d, item), found in sorted(best.items())]
 
+    def align(self, item: int, words: np.ndarray, start: int, end: int, low: int) -> tuple[int, int]:
+        cost, begin = aligned(self.words[item], words[start:end])
+        return cost, start + begin - low
+
+
+def stretches(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, with overlapping ones as one."""
+    out = [spans[0]]
+    for a, b in spans[1:]:
+        if a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", edits: float = EDITS, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs and item in it: doc_id, item_id, distance, first_word (from 0), over whole texts.
