@@ -88,7 +88,7 @@ ORACLES: dict[str, str] = {
         ),
         s AS (
           SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-                 ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS shingles
+                 ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles
           FROM w
         ),
         n AS (SELECT doc_id, len(shingles) AS n FROM s),
