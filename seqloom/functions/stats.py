@@ -50,5 +50,5 @@ def printed_pvalue(value: float) -> str:
     if value == 0:
         return "0.000000000e+00"
     exact = Decimal(value)
-    unit = Decimal(1).scaleb(exact.adjusted() - 9)
-    return f"{exact.quantize(unit, ROUND_CEILING):.9e}"
+    up = exact.quantize(Decimal(1).scaleb(exact.adjusted() - 9), ROUND_CEILING)
+    return f"{up.scaleb(-up.adjusted()):.9f}e{up.adjusted():+03d}"

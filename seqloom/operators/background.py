@@ -23,7 +23,7 @@ def compare(foreground: DataFrame, background: DataFrame, bg_num_seqs: int | Col
     other = background.dropDuplicates(["motif"]).select("motif", F.round("ratio", 6).alias("bg_ratio"), F.col("v").alias("bg_v"))
     both = foreground.join(other, "motif", "left").withColumn("matched", F.col("bg_v").isNotNull())
     p = F.when(F.col("matched"), F.col("bg_ratio")).otherwise(F.lit(float(bg_q)) / bg_num_seqs)
-    return both.withColumn("pvalue", binomial_tail(F.col("u"), F.col("num_seqs"), p)).fillna(0, ["bg_ratio", "bg_v"])
+    return both.withColumn("p", p).withColumn("pvalue", binomial_tail(F.col("u"), F.col("num_seqs"), F.col("p"))).drop("p").fillna(0, ["bg_ratio", "bg_v"])
 
 
 def matched(foreground: DataFrame, background: DataFrame, bg_num_seqs: int | Column, bg_q: float) -> DataFrame:

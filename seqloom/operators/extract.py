@@ -46,8 +46,12 @@ def count_structured(motifs: DataFrame, texts: DataFrame, params: MotifParams) -
     else:
         pairs = edit_context_pairs(heads, counts.select(F.col("tb0").alias("context")).distinct(), params.k, params.e).withColumnRenamed("context", "tb0")
     tuples = counts.select(*(f"t{b}" for b in boxes)).distinct()
-    both = motifs.join(pairs.withColumnRenamed("motif", "b0"), "b0").join(tuples, "tb0")
-    for b, length, e in list(zip(boxes, params.lengths, params.errors, strict=True))[1:]:
+    # boxes without errors are further join keys; the others filter
+    rest = list(zip(boxes, params.lengths, params.errors, strict=True))[1:]
+    exact = [b for b, _, e in rest if hamming and e == 0]
+    near = motifs.join(pairs.withColumnRenamed("motif", "b0"), "b0").select("*", *(F.col(b).alias(f"t{b}") for b in exact))
+    both = near.join(tuples, ["tb0", *(f"t{b}" for b in exact)])
+    for b, length, e in (x for x in rest if x[0] not in exact):
         both = both.filter(mismatches(F.col(b), F.col(f"t{b}"), length) <= e if hamming else suffix_within(F.col(b), F.col(f"t{b}"), length, e))
     return two_levels(both.join(counts, [f"t{b}" for b in boxes]), boxes)
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.params import ALPHABETS
-
 
 def build_sequences(rows: DataFrame, entity: str, order: list[str], symbol: Column) -> DataFrame:
     """seq_id (the entity), seq: its symbols in order. Rows without entity or symbol, and so empty sequences, are left out."""
@@ -37,9 +35,9 @@ def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper-cased symbols of the protein alphabet in whole English texts."""
+    """The letters of whole English texts, upper-cased, and '*': the protein alphabet has all of A-Z."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' AND text IS NOT NULL")
-    seq = F.regexp_replace(F.upper("text"), f"[^{ALPHABETS['PROT'].replace('*', '')}*]", "")
+    seq = F.upper(F.regexp_replace("text", "[^A-Za-z*]", ""))
     return docs.select(F.col("doc_id").alias("seq_id"), seq.alias("seq")).filter(F.length("seq") > 0)
 
 
