@@ -27,9 +27,9 @@ BAND = MotifParams(5, 1, 20, alphabet=USR, q_max=60, n_min=40, n_max=120)
 SHORT = MotifParams(12, 2, 0, alphabet=USR, n_min=2)
 S_HD = MotifParams(4, 1, 5, alphabet=USR, boxes=(Box(1, 2, 3, 0),))
 S_ED = MotifParams(3, 1, 5, "edit", alphabet=USR, boxes=(Box(1, 2, 3, 1),), n_max=10**9)
-BG = MotifParams(5, 1, 45, alphabet=USR, n_max=10**9)
-FG = MotifParams(5, 1, 45, alphabet=USR, n_max=10**9)
-LOW = MotifParams(5, 1, 35, alphabet=USR, n_max=10**9)
+BG = MotifParams(5, 1, 40, alphabet=USR, n_max=10**9)
+FG = MotifParams(5, 1, 43, alphabet=USR, n_max=10**9)
+LOW = MotifParams(5, 1, 38, alphabet=USR, n_max=10**9)
 
 
 def counted(df: DataFrame) -> DataFrame:

@@ -1 +1 @@
-
+"""Empty on purpose: the engine is batch only, as every query needs the number of all sequences."""
