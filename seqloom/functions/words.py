@@ -46,12 +46,6 @@ def deletions(word: Column, e: int) -> Column:
     return out
 
 
-def suffix_within(word: Column, context: Column, length: int, errors: int) -> Column:
-    """Whether some suffix of the context is within that many edits of the word."""
-    sizes = F.array(*map(F.lit, range(length - errors, length + errors + 1)))
-    return F.exists(sizes, lambda n: (n <= F.length(context)) & (F.levenshtein(word, F.right(context, n), errors) >= 0))
-
-
 def smile_id(motif: Column, symbols: str) -> Column:
     """Each symbol as the character that follows '0' by its place in the alphabet; '_' between boxes becomes '-'."""
     return F.translate(motif, symbols + "_", "".join(chr(ord("0") + i) for i in range(len(symbols))) + "-")

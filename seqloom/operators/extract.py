@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.stats import ratio, within_quorum
-from seqloom.functions.words import mismatches, suffix_within
+from seqloom.functions.words import mismatches
 from seqloom.operators.windows import edit_contexts, kmer_windows, structured_tuples
 from seqloom.params import MotifParams
 from seqloom.plans.similarity import edit_context_pairs, hamming_pairs
@@ -22,11 +22,16 @@ def two_levels(matches: DataFrame, motif: list[str]) -> DataFrame:
     return matches.groupBy(*motif, "seq_id").agg(F.sum("cnt").alias("cnt")).groupBy(*motif).agg(F.count("*").alias("u"), F.sum("cnt").alias("v"))
 
 
+def word_counts(sequences: DataFrame, k: int) -> DataFrame:
+    """word, seq_id, cnt, end_pos (the first)."""
+    return kmer_windows(sequences, k).groupBy("word", "seq_id").agg(F.count("*").alias("cnt"), F.min("end_pos").alias("end_pos"))
+
+
 def count_occurrences(motifs: DataFrame, texts: DataFrame, params: MotifParams) -> DataFrame:
     """motif, u, v over texts (seq_id, seq) for the distinct motifs (motif) of k symbols; those without any are missing."""
     k, e = params.k, params.e
     if params.distance == "hamming":
-        counts = kmer_windows(texts, k).groupBy("word", "seq_id").agg(F.count("*").alias("cnt"))
+        counts = word_counts(texts, k)
         pairs = hamming_pairs(motifs, counts.select("word").distinct(), k, e)
         return two_levels(pairs.join(counts, "word"), ["motif"])
     counts = edit_contexts(texts, k, e).groupBy("context", "seq_id").agg(F.count("*").alias("cnt"))
@@ -52,7 +57,11 @@ def count_structured(motifs: DataFrame, texts: DataFrame, params: MotifParams) -
     near = motifs.join(pairs.withColumnRenamed("motif", "b0"), "b0").select("*", *(F.col(b).alias(f"t{b}") for b in exact))
     both = near.join(tuples, ["tb0", *(f"t{b}" for b in exact)])
     for b, length, e in (x for x in rest if x[0] not in exact):
-        both = both.filter(mismatches(F.col(b), F.col(f"t{b}"), length) <= e if hamming else suffix_within(F.col(b), F.col(f"t{b}"), length, e))
+        if hamming:
+            both = both.filter(mismatches(F.col(b), F.col(f"t{b}"), length) <= e)
+        else:
+            close = edit_context_pairs(motifs.select(F.col(b).alias("motif")).distinct(), counts.select(F.col(f"t{b}").alias("context")).distinct(), length, e)
+            both = both.join(close.select(F.col("motif").alias(b), F.col("context").alias(f"t{b}")), [b, f"t{b}"])
     return two_levels(both.join(counts, [f"t{b}" for b in boxes]), boxes)
 
 
@@ -74,8 +83,13 @@ def extract_motifs(sequences: DataFrame, params: MotifParams) -> DataFrame:
         counts = count_structured(seen.select(*boxes), sequences, params)
         found = thresholds(counts, n, params).join(seen, boxes).withColumn("motif", F.concat_ws("_", *boxes))
     else:
-        seen = kmer_windows(sequences, params.k).groupBy(F.col("word").alias("motif")).agg(F.min(F.struct("seq_id", "end_pos")).alias("first"))
-        found = thresholds(count_occurrences(seen.select("motif"), sequences, params), n, params).join(seen, "motif")
+        words = word_counts(sequences, params.k).withColumnRenamed("word", "motif").groupBy("motif")
+        first = F.min(F.struct("seq_id", "end_pos")).alias("first")
+        if params.e == 0:
+            found = thresholds(words.agg(F.count("*").alias("u"), F.sum("cnt").alias("v"), first), n, params)
+        else:
+            seen = words.agg(first)
+            found = thresholds(count_occurrences(seen.select("motif"), sequences, params), n, params).join(seen, "motif")
     return found.select("motif", "u", "num_seqs", "ratio", "v", "first")
 
 
