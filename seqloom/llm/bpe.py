@@ -4,7 +4,7 @@ For each word the tree's leaves hold the rank of the merge of a symbol with its
 root names the lowest rank and, of equal ones, the leftmost; merging there changes two leaves, so each merge costs
 the logarithm of the word's length, whatever the word's length. Merging ends when the root has no rank.
 
-A worker keeps the words it has encoded lately in tables of bounded size.
+A task keeps the words it has encoded lately in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_CACHE = 300_000  # words in each half of a worker's tables
+from seqloom.llm.shared import small_batches
+from seqloom.llm.words import give_back, parts
+
+WORD_CACHE = 200_000  # words in each half of a worker's tables
 LONG_WORD = 256  # longer ones are encoded anew each time
 NONE = 1 << 60
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -38,13 +41,21 @@ class WordBPE:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] if x["special"]}
         self.token = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.rank_of = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(model["merges"])}
+        self.ranks: list[dict[int, int]] = [{}] * (1 + max(self.vocab.values()))  # by left symbol, then by right
+        for rank, (a, b) in enumerate(model["merges"]):
+            left = self.vocab[a]
+            self.ranks[left] = self.ranks[left] or {}
+            self.ranks[left].setdefault(self.vocab[b], rank)
         self.made = [self.vocab[a + b] for a, b in model["merges"]]
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.inner = [self.vocab.get(c) for c in byte_alphabet()]
         self.last = [self.vocab.get(c + self.end) for c in byte_alphabet()]
         self.decimal = {i: str(i) for i in self.token}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables of words, so that a worker that waits for other work holds no memory for them."""
         self.chunks, self.words_seen = Recent(WORD_CACHE), Recent(WORD_CACHE)
 
     def merged(self, symbols: list[int]) -> list[int]:
@@ -53,13 +64,13 @@ class WordBPE:
         node is the tree: leaf i, at size + i, holds the rank of the pair that begins with symbol i, followed by i in
         the low bits; an inner node holds the lesser of its two children, and node[1] the next merge.
         """
-        rank_of, made, n = self.rank_of.get, self.made, len(symbols)
+        ranks, made, n = self.ranks, self.made, len(symbols)
         bits = (n - 2).bit_length()
         size = 1 << bits
         node = [NONE] * (2 * size)
         at = size
-        for pair in zip(symbols, symbols[1:], strict=False):
-            if (rank := rank_of(pair)) is not None:
+        for left, right in zip(symbols, symbols[1:], strict=False):
+            if (rank := ranks[left].get(right)) is not None:
                 node[at] = rank << bits | at - size
             at += 1
         for i in range(size - 1, 0, -1):
@@ -71,16 +82,16 @@ class WordBPE:
         while (best := node[1]) != NONE:
             at = best & (size - 1)
             gone = after[at]
-            symbols[at] = made[best >> bits]
+            symbols[at] = made_now = made[best >> bits]
             beyond = after[at] = after[gone]
             changed = [(at, NONE)]
             if beyond < n:
                 before[beyond] = at
                 changed.append((gone, NONE))
-                if (rank := rank_of((symbols[at], symbols[beyond]))) is not None:
+                if (rank := ranks[made_now].get(symbols[beyond])) is not None:
                     changed[0] = (at, rank << bits | at)
             if (first := before[at]) >= 0:
-                rank = rank_of((symbols[first], symbols[at]))
+                rank = ranks[symbols[first]].get(made_now)
                 changed.append((first, NONE if rank is None else rank << bits | first))
             for i, least in changed:
                 i += size
@@ -205,12 +216,14 @@ def bpe_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in parts(batches):
             rows = [bpe.digest(t) for t in batch.column(1).to_pylist()]
             n, ids, said = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(said, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
+        give_back()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def encode_ids(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -218,8 +231,10 @@ def encode_ids(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        bpe.forget()
+        give_back()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

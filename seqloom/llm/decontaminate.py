@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import materialise, rows_with
-from seqloom.llm.words import batch_words, mix, not_alphanumeric
+from seqloom.llm.shared import materialise, rows_with, small_batches
+from seqloom.llm.words import batch_words, mix, not_alphanumeric, parts
 
 EDITS = 0.1
 RECALL = 0.99
@@ -233,14 +233,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(ship.value, edits, min_words)
-            for batch in batches:
+            for batch in parts(batches):
                 words, _, bounds = batch_words(batch.column(1), not_alphanumeric())
                 got = index.hits(words, bounds) if len(index.by_size) and len(words) > 1 else []
                 ids = batch.column(0).to_pylist()
                 columns = [[ids[d] for d, *_ in got], [index.ids[i] for _, i, *_ in got], [x[2] for x in got], [x[3] for x in got]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "first_word"])
 
-        return rows.mapInArrow(run, SCHEMA)
+        return small_batches(rows).mapInArrow(run, SCHEMA)
 
     found = search(0)
     for b in range(1, blocks):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.shared import small_batches
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
@@ -168,4 +170,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", page_id: str = "
             said = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(map(len, said), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return small_batches(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))).mapInArrow(run, SCHEMA)

@@ -21,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.words import pieces_of, text_bytes
+from seqloom.llm.shared import small_batches
+from seqloom.llm.words import parts, pieces_of, text_bytes
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -164,8 +165,10 @@ def judge(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray,
         return ["und"] * n, np.zeros(n), np.ones(n, bool)
     data, offsets = text_bytes(column)
     best, score, known = model.predict(data, offsets)
-    letter = np.cumsum(np.concatenate([[0], ((data | 32) >= 97) & ((data | 32) <= 122)]))
-    has = letter[offsets[1:]] > letter[offsets[:-1]]
+    letter, some = ((data | 32) >= 97) & ((data | 32) <= 122), offsets[1:] > offsets[:-1]
+    has = np.zeros(n, bool)
+    if some.any():
+        has[some] = np.logical_or.reduceat(letter, offsets[:-1][some])
     for i in np.flatnonzero(~has):
         has[i] = bool(LETTER.search(column[i].as_py() or ""))
     said = [model.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
@@ -182,11 +185,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", doc_id: s
     ship = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             said, score, rejected = judge(ship.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id, FOLDS) == 0).alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id, FOLDS) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -194,10 +197,10 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     ship, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(~judge(ship.value, batch.column(place))[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def known_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:

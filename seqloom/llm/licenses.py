@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.words import batch_words, not_alphanumeric, phrase_places, word_hash
+from seqloom.llm.shared import small_batches
+from seqloom.llm.words import batch_words, not_alphanumeric, parts, phrase_places, word_hash
 
 #: The phrases whose places are counted, and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -182,12 +183,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [(label, *skip_leading(t)) for label, ts in wordings.items() for t in ts]
         base = [(label, [word_hash(w) for w in phrase.split()]) for phrase, label in BASE_PHRASES.items()]
-        for batch in batches:
+        for batch in parts(batches):
             got = scan_batch(batch.column(1), made, base)
             types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "score": pa.float64()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, types.get(k, pa.string())) for k, v in got.items())], ["doc_id", *got])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def skip_leading(markup: str) -> tuple[Automaton, list[int]]:

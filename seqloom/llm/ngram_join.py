@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.llm.shared import materialise, partitions, rows_with
-from seqloom.llm.words import batch_words, mix, white_space
+from seqloom.llm.shared import materialise, partitions, rows_with, small_batches
+from seqloom.llm.words import batch_words, give_back, mix, parts, white_space
 
 SHINGLE = 5
 PERCENT = 75  # least similarity
@@ -86,16 +86,24 @@ def docs_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """Sorted: the shingles that are in the most hash-ordered prefixes, FREQUENT at most."""
+    """Sorted: the shingles that are in the most hash-ordered prefixes, FREQUENT at most, of all documents."""
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             got = [prefix(s, none, percent) for s in batch_sets(batch.column(0), k)]
             yield pa.RecordBatch.from_arrays([signed(np.concatenate([none, *got]))], ["token"])
 
-    counts = docs.select("text").mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM)
-    rows = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").collect()
+    counts = small_batches(docs.select("text")).mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM)
+    # by steps of the count, so that what is sorted or collected has a bound: the highest steps that hold FREQUENT at most
+    counts = materialise(counts.select("token", F.floor(F.log2("count") * 16).alias("step")), "counts")
+    least, held = None, 0
+    for step in counts.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        held += step.n
+        if held > FREQUENT:
+            break
+        least = step.step
+    rows = counts.filter(F.col("step") >= least).select("token").collect() if least is not None else []
     return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
 
 
@@ -107,21 +115,21 @@ def read_sets(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
         return int(mix(mix(x + np.uint64(salt)).sum(keepdims=True) + np.uint64(len(x))).view(np.int64)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = batch_sets(batch.column(1), k)
             columns = [[len(s) for s in sets], [digest(s, 1) for s in sets], [digest(prefix(s, frequent.value, percent), 2) for s in sets]]
             odd = [np.bincount(((s >> np.uint64(20)) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 for s in sets]
             maps = np.packbits(np.array(odd, np.uint8).reshape(-1, MAP_BITS), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *(pa.array(c) for c in maps.T)], ["doc_id", "n", "sig", "grp", *MAP])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, grp long" + "".join(f", {m} long" for m in MAP))
+    return small_batches(docs).mapInArrow(run, "doc_id long, n long, sig long, grp long" + "".join(f", {m} long" for m in MAP))
 
 
 def prefix_rows(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
     """token, doc_id, n, pos for each shingle of each prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = batch_sets(batch.column(1), k)
             heads = [prefix(s, frequent.value, percent) for s in sets]
             size = np.array([len(h) for h in heads], np.int64)
@@ -133,7 +141,7 @@ def prefix_rows(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
             for a in range(0, len(pos), step):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + step], t) for x, t in zip(arrays, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["token", "doc_id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, n int, pos int")
+    return small_batches(docs).mapInArrow(run, "token long, doc_id long, n int, pos int")
 
 
 def may_match(n1, p1, n2, p2, percent: int):
@@ -142,6 +150,19 @@ def may_match(n1, p1, n2, p2, percent: int):
     return (percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= share)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows."""
+    kept, n = [], 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(kept)
+            kept, n = [], 0
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, star: int, near: int, open_rows: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token and doc_id: pairs (a, b), and the rows of large buckets (a, token, n, pos)."""
     names = ["a", "b", "token", "n", "pos"]
@@ -180,7 +201,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, s
 
     held = [np.zeros(0, np.int64)] * 4
     going_on = None
-    for batch in batches:
+    for batch in together(batches):
         columns = [np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held)]
         t = columns[0]
         if not len(t):
@@ -194,6 +215,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, s
             yield from work(columns, int(t[-1]))
             held, going_on = [x[cut : cut + star] for x in columns], int(t[-1])
     yield from work(held, going_on)
+    give_back()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -205,9 +227,8 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+        for part in parts(batches):
+            if part.num_rows:
                 left = part.column(2).dictionary_encode()
                 sets = batch_sets(left.dictionary, k)
                 ok = []
@@ -217,7 +238,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 mask = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
-    return materialise(both.mapInArrow(run, "a long, b long"), "links")
+    return materialise(small_batches(both).mapInArrow(run, "a long, b long"), "links")
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

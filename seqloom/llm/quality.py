@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.langid import fold
-from seqloom.llm.words import batch_words, pieces_of, text_bytes, white_space
+from seqloom.llm.shared import small_batches
+from seqloom.llm.words import batch_words, parts, pieces_of, text_bytes, white_space
 
 PASSAGE = 512
 SAMPLE = 3000  # labelled documents that a model is fitted on, at most
@@ -143,9 +144,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ship.value
-        for batch in batches:
+        for batch in parts(batches):
             n = batch.num_rows
             score = np.round(model.score(*passages(batch.column(2))), 6) if model and n else np.full(n, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id, FOLDS) == 1).alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id, FOLDS) == 1).alias("held_out"), F.col(text).cast("string").alias("text"))).mapInArrow(run, SCHEMA)

@@ -61,3 +61,17 @@ def rows_with(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     """docs whose key is (left_semi) or isn't (left_anti) in ids, a written table; broadcast up to BROADCAST_IDS."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if small else ids.hint("merge"), key, how).select(docs.columns)
+
+
+ARROW_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df as it is; its session then hands whole texts to Python by ARROW_ROWS, unless it has a setting of its own.
+
+    Spark's default of 10,000 rows makes batches of texts that cost each executor several hundred MB outside its heap.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:
+        conf.set(key, ARROW_ROWS)
+    return df

@@ -7,6 +7,7 @@ between words, so memory doesn't grow with a text's length beyond the text and i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 21
+SLICE = 1 << 23  # bytes of texts that an operator works on at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -125,6 +127,22 @@ def phrase_places(words: np.ndarray, bounds: np.ndarray, phrase: list[int]) -> n
     return at[np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at + n - 1, "right")]
 
 
+def parts(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about size bytes, so that what is computed for one stays small; then gives unused memory back."""
+    for batch in batches:
+        rows = max(1, int(size * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits would else keep what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces_of(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Runs of texts, from first to before last, of about limit bytes."""
     first = 0

@@ -54,7 +54,7 @@ def test_bpe_merges_like_a_plain_loop():
     for _ in range(500):
         word = "".join(r.choice("theaninorst") for _ in range(r.randint(1, 30)))
         ids = [bpe.vocab[c] for c in word[:-1]] + [bpe.vocab[word[-1] + "</w>"]]
-        while pairs := [(bpe.rank_of[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in bpe.rank_of]:
+        while pairs := [(bpe.ranks[a][b], i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if b in bpe.ranks[a]]:
             rank, i = min(pairs)
             ids[i : i + 2] = [bpe.made[rank]]
         assert bpe.word(word) == ids

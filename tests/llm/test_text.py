@@ -104,3 +104,17 @@ def test_words_do_not_depend_on_pieces(monkeypatch):
         parts = batch_words(pa.array(texts), sep)
         assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
         monkeypatch.undo()
+
+
+def test_words_of_slices():
+    from seqloom.llm.words import parts
+
+    texts = ["one two", None, "three", "", "four five é six"] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(35)), pa.array(texts)], ["id", "text"])
+    small = list(parts([batch], 40))
+    assert len(small) > 5 and sum(b.num_rows for b in small) == 35
+    got = [batch_words(b.column(1), white_space()) for b in small]
+    whole = batch_words(batch.column(1), white_space())
+    assert [h for g in got for h in g[0].tolist()] == whole[0].tolist()
+    assert [n for g in got for n in (g[2][1:] - g[2][:-1]).tolist()] == (whole[2][1:] - whole[2][:-1]).tolist()
+    assert list(parts([batch.slice(0, 0)]))[0].num_rows == 0
