@@ -1,16 +1,16 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact edit verification of all stretches that keep enough of an item's word pairs.
 
 Texts are sequences of words (letters and digits, A-Z lower-cased). An item of m words is in a document if some stretch
 of it is within EDITS * m word edits, rounded down, of the item.
 
-1. Windows: every word begins a window of each item's size. A window that is near an item keeps most of the item's
-   word pairs, so windows with fewer of an item's pairs than edits can leave are no candidates; that loses none.
-2. The CGK walk embeds a window: at each of 3m steps it writes the word it stands on and moves on or stays, as a random
-   bit for step and word says. Sequences at a small edit distance walk into step with each other, so that their
-   embeddings are at a small Hamming distance.
-3. Each of a number of repetitions draws a walk and SAMPLED of its steps; windows and items whose words agree at those
-   are candidates. The number follows from the recall wanted and the Hamming share assumed for the largest distance.
-4. Candidates are aligned exactly with the stretch around the window.
+1. Windows: a stretch that is near an item keeps most of the item's word pairs, so windows of the item's size with
+   fewer of its pairs than edits can leave are no candidates; that loses none.
+2. The stretch around each window that is left is aligned with the item, bit-parallel over the item's words. Only what
+   is near enough is aligned once more to find where it begins.
+
+embed_keys() and repetitions() are the CGK embedding and bit-sampling LSH. The search doesn't use them: the share of an
+embedding that edits change grows with their number and is largest for early ones, so a number of repetitions loses
+leaks, and the pairs leave few enough windows to align each.
 
 The benchmark is the stated query set: it goes to all documents in blocks of BLOCK items, so each broadcast is bounded.
 """
@@ -36,7 +36,6 @@ SAMPLED = 3
 MIN_WORDS = 6
 COMMON = 32
 BLOCK = 20_000
-PAD = np.uint64(0)
 SCHEMA = "doc_id long, item_id long, distance int, first_word long"
 
 
@@ -88,6 +87,28 @@ def aligned(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     return cost[j], start[j]
 
 
+def nearest_end(mask: dict[int, int], m: int, stretch: list[int]) -> tuple[int, int]:
+    """(least word edits between the item and a part of the stretch, where the first such part ends), a column of the alignment at a time in the bits of an integer."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, cost, best, end = full, 0, m, m, 0
+    for j, word in enumerate(stretch, 1):
+        same = mask.get(word, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        if more & top:
+            cost += 1
+        elif less & top:
+            cost -= 1
+            if cost < best:
+                best, end = cost, j
+                if not cost:
+                    break
+        more, less = (more << 1) & full, (less << 1) & full
+        up, down = less | (full & ~(level | more)), more & level
+    return best, end
+
+
 def slices(doc: np.ndarray, total: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Runs of entries, from a to before b, that end with a text and expand to about limit entries."""
     a = 0
@@ -111,12 +132,7 @@ class Index:
             if len(w) >= min_words:
                 self.by_size[len(w)].append(k)
         self.set_pairs()
-        self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
-        for m, ks in self.by_size.items():
-            for r in range(repetitions()):
-                table = self.keys[m, r] = defaultdict(list)
-                for k, key in zip(ks, embed_keys(np.stack([self.words[k] for k in ks]), r).tolist(), strict=True):
-                    table[key].append(k)
+        self.masks: dict[int, dict[int, int]] = {}
 
     def set_pairs(self) -> None:
         """Word pairs with the items that count them, and how many of an item's a near window has at least.
@@ -129,7 +145,7 @@ class Index:
         values, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_inverse=True)
         item = np.repeat(used, [len(x) for x in own])
         in_items = np.bincount(np.unique(np.stack([of, item], 1), axis=0)[:, 0], minlength=len(values)) if len(of) else np.zeros(0, np.int64)
-        spare = np.array([4 * allowed(len(w), self.edits) for w in self.words], np.int64)
+        spare = self.spare = np.array([4 * allowed(len(w), self.edits) for w in self.words], np.int64)
         rare = in_items[of] <= COMMON
         n_rare = np.bincount(item[rare], minlength=len(self.words))
         n_all = np.bincount(item, minlength=len(self.words))
@@ -142,8 +158,8 @@ class Index:
         self.maybe[self.pairs & np.uint64((1 << 20) - 1)] = True
         self.size = np.array([len(w) for w in self.words], np.int64)
 
-    def windows(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each size of item, the starts of the windows that keep enough of some item's pairs."""
+    def stretches(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, end) of what lies around windows that keep enough of the item's pairs, in order, overlapping ones as one."""
         h = pair_hashes(words)
         at = np.flatnonzero(self.maybe[h & np.uint64((1 << 20) - 1)])
         if not len(at) or not len(self.pairs):
@@ -152,7 +168,6 @@ class Index:
         doc = np.searchsorted(bounds, at, "right") - 1
         ok = (self.pairs[which] == h[at]) & (at + 1 < bounds[doc + 1])
         at, which, doc = at[ok], which[ok], doc[ok]
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
         each = self.pair_first[which + 1] - self.pair_first[which]
         for a, b in slices(doc, np.cumsum(each)):
             n = each[a:b]
@@ -163,61 +178,43 @@ class Index:
             item, pos, of = item[order], pos[order], of[order]
             place = (of * len(self.words) + item) * (len(words) + 1) + pos
             many = np.searchsorted(place, place + np.minimum(self.size[item] - 1, len(words) - pos)) - np.arange(len(place)) >= self.least[item]
-            for m in np.unique(self.size[item[many]]).tolist():
-                here = many & (self.size[item] == m)
-                k = allowed(m, self.edits)
-                starts = (pos[here][:, None] - np.arange(2 * k + 1)).ravel()
-                low = np.repeat(bounds[of[here]], 2 * k + 1)
-                found[m].append(starts[starts >= low])
-        for m, starts in found.items():
-            yield m, np.unique(np.concatenate(starts))
+            item, pos, of = item[many], pos[many], of[many]
+            if not len(item):
+                continue
+            # The pairs that count may all stand late in the item, so a near stretch may begin its whole length before.
+            reach = self.size[item] + self.spare[item] // 4
+            low, high = np.maximum(bounds[of], pos - reach), np.minimum(bounds[of + 1], pos + reach)
+            first = np.append(True, (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1]))
+            last = np.append(first[1:], True)
+            yield from zip(of[first].tolist(), item[first].tolist(), low[first].tolist(), high[last].tolist(), strict=True)
 
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, first word) for each text and item in it."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        padded = np.concatenate([words, np.zeros(1, np.uint64)])
-        for m, starts in self.windows(words, bounds):
-            doc, k = np.searchsorted(bounds, starts, "right") - 1, allowed(m, self.edits)
-            at = starts[:, None] + np.arange(m)
-            windows = np.where(at < bounds[doc + 1][:, None], padded[np.minimum(at, len(words))], PAD)
-            pairs: set[tuple[int, int]] = set()
-            for r in range(repetitions()):
-                table = self.keys[m, r]
-                pairs.update((i, item) for i, key in enumerate(embed_keys(windows, r).tolist()) if key in table for item in table[key])
-            near: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for i, item in sorted(pairs):
-                near[int(doc[i]), item].append(i)
-            for (d, item), rows in near.items():
-                low, high = int(bounds[d]), int(bounds[d + 1])
-                same = (windows[rows] == self.words[item]).all(1)
-                if same.any():
-                    best[d, item] = 0, int(starts[rows[int(same.argmax())]]) - low
-                elif k:
-                    found = min(self.align(item, words, s, e, low) for s, e in stretches([(max(low, int(starts[i]) - 2 * k), min(high, int(starts[i]) + m + 2 * k)) for i in rows]))
-                    if found[0] <= k:
-                        best[d, item] = found
+        for d, item, low, high in self.stretches(words, bounds):
+            m, k = len(self.words[item]), int(self.spare[item]) // 4
+            if best.get((d, item), (k + 1,))[0] == 0:
+                continue
+            cost, end = nearest_end(self.mask(item), m, words[low:high].tolist())
+            if cost < best.get((d, item), (k + 1,))[0]:
+                begin = max(low, low + end - m - cost)
+                start = low + end - m if cost == 0 else begin + aligned(self.words[item], words[begin : low + end])[1]
+                best[d, item] = cost, start - int(bounds[d])
         return [(d, item, *found) for (d, item), found in sorted(best.items())]
 
-    def align(self, item: int, words: np.ndarray, start: int, end: int, low: int) -> tuple[int, int]:
-        cost, begin = aligned(self.words[item], words[start:end])
-        return cost, start + begin - low
-
-
-def stretches(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted spans, with overlapping ones as one."""
-    out = [spans[0]]
-    for a, b in spans[1:]:
-        if a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+    def mask(self, item: int) -> dict[int, int]:
+        """The places of each of the item's words, as bits."""
+        if item not in self.masks:
+            made = self.masks[item] = defaultdict(int)
+            for i, word in enumerate(self.words[item].tolist()):
+                made[word] |= 1 << i
+        return self.masks[item]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", edits: float = EDITS, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs and item in it: doc_id, item_id, distance, first_word (from 0), over whole texts.
 
-    distance is the least number of word edits found, at most edits * m; first_word is the first place with it. Items
+    distance is the least number of word edits, at most edits * m; first_word is where the first part with it begins. Items
     with fewer than min_words words are no evidence and are left out, null items too. Null and empty texts have no
     rows, as have clean documents; repeated documents give repeated rows; an empty benchmark or table gives none; other
     columns are not read.

@@ -74,3 +74,27 @@ def test_embedding():
     same = np.mean([embed_keys(x, i) == embed_keys(near, i) for i in range(200)])
     assert same > 0.3 and np.mean([embed_keys(x, i)[0] == embed_keys(x, i)[1] for i in range(50)]) < 0.1  # all sampled steps may lie past the end
     assert aligned(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 3, 4])) == (1, 1) and repetitions() >= 19
+
+
+def test_finds_all_edits_of_long_items(spark):
+    r = random.Random(3)
+    items = [(i, [f"w{r.randrange(400)}" for _ in range(m)]) for i, m in enumerate([60, 100, 200] * 2)]
+    items += [(6, ["same"] * 30 + [f"v{i}" for i in range(70)])]  # one pair again and again before the rest
+    docs = []
+    for i, item in items:
+        for kind in ("delete", "insert", "change"):
+            for share in (1, 0.5, 0.2):  # of the item, from its start, that gets all edits
+                text, k = list(item), allowed(len(item), 0.1)
+                for at in sorted(r.sample(range(max(k, int(share * len(item)))), k), reverse=True):
+                    text[at : at + (kind != "insert")] = [] if kind == "delete" else [f"x{r.randrange(400)}"]
+                docs.append((len(docs), i, ["before"] * 30 + text + ["after"] * 30))
+    assert all(least(dict(items)[i], t) <= allowed(len(dict(items)[i]), 0.1) for _, i, t in docs)
+    got = find_leaks(spark.createDataFrame([(d, " ".join(t)) for d, _, t in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.distance for x in got} == {(d, i): least(dict(items)[i], t) for d, i, t in docs}
+
+
+def test_all_by_brute_force(spark):
+    docs, items = planted(2, 300)
+    truth = {(d, i, dist) for d, t in docs for i, it in items if (dist := least(words(it), words(t))) <= allowed(len(words(it)), 0.1)}
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=9).collect()
+    assert truth and {(x.doc_id, x.item_id, x.distance) for x in got} == truth
