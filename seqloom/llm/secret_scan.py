@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in DataFrame expressions.
 
-Candidates are values that a credential's name is assigned, keys with a known beginning, and long mixed tokens. Each
+Candidates are values that a credential's name is assigned, keys with a known beginning, PEM private keys, and long
+mixed tokens, each of any length. A quoted value goes up to its quote. Each
 gets features of its length, its character transitions, how much of it dictionary words cover, the path it was found
 in and the neighbouring words. A random forest is trained on labelled findings and then written out as column
 expressions, so that scanning is one projection over the documents.
@@ -21,14 +22,18 @@ NEAR = 60  # characters on either side that count as neighbouring words
 VALUE = r"[A-Za-z0-9+/_=.\-]"
 #: Names of credentials, and the beginnings and sizes of keys that have such.
 NAMES = r"(?:pass(?:word|wd)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)"
-KNOWN = r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_(?:live|test)_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+KNOWN = rf"AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|xox[abprs]-[A-Za-z0-9-]{{10,}}+|sk_(?:live|test)_[A-Za-z0-9]{{16,}}+|AIza[A-Za-z0-9_-]{{35}}|eyJ[A-Za-z0-9_-]{{8,}}+(?:\.[A-Za-z0-9_-]{{8,}}+){{2,4}}|{PEM}"
+#: A quoted value goes up to its quote, unless another key is in it; a bare one to white space or what ends a value in code, URLs and connection strings.
+QUOTED = "|".join(rf"""{q}(?![^{q}\r\n]*[ \t=:](?:(?:{KNOWN})(?![A-Za-z0-9])|(?i:[\w-]{{0,24}}{NAMES})[=:]))(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})""" for q in "\"'")
+BARE = r"""(?:[^\x00-\x20\x7f\u00a0\u3000"'`,;()\[\]{}<>|\\&:]|&(?![\w.-]{1,64}=)|:(?!//)){6,}+"""
 CANDIDATE = (
-    rf"""(?i:\b[\w-]{{0,24}}{NAMES}\b["']?[ \t]{{0,4}}(?:=|:)[ \t]{{0,4}}["']?)(?:{VALUE}{{6,256}})"""
-    rf"""|\b(?:{KNOWN})(?![A-Za-z0-9])"""
-    rf"""|(?<![A-Za-z0-9+/_=-])(?=[a-zA-Z+/_-]{{0,40}}[0-9])(?=[0-9+/_-]{{0,40}}[a-zA-Z])[A-Za-z0-9+/_-]{{20,256}}={{0,2}}(?![A-Za-z0-9+/_=-])"""
+    rf"""(?i:\b[\w-]{{0,24}}{NAMES}\b["']?[ \t]{{0,4}}(?:=|:)[ \t]{{0,4}})(?:["']?{PEM}|{QUOTED}|["']?{BARE})"""
+    rf"""|\b(?:{KNOWN})(?![A-Za-z0-9])|{PEM}"""
+    rf"""|(?<![A-Za-z0-9+/_=-])(?=[a-zA-Z+/_-]*+[0-9])(?=[0-9+/_-]*+[a-zA-Z])[A-Za-z0-9+/_-]{{20,}}+={{0,2}}(?![A-Za-z0-9+/_=-])"""
 )
 #: A cheap test that every text with a candidate passes: a name and = or :, a known beginning, or a long run.
-MAYBE = rf"(?i:{NAMES})|AKIA|AIza|eyJ|{VALUE}{{14}}"
+MAYBE = rf"(?i:{NAMES})|AKIA|AIza|eyJ|PRIVATE KEY|{VALUE}{{14}}"
 WORDS = "password secret token admin root user username login example sample test dummy fake change changeme default your here insert replace placeholder redacted hidden none null true false string value name key api access private public client server config setting option enable field input form label the and for this that with from some hello world foo bar baz qwerty abc letmein welcome get set account email reset hash session cookie header field type path file local host data".split()  # fixed values
 FAKE = r"(?i)\b(?:example|sample|dummy|fake|placeholder|test|demo|template|todo|redacted|not a real)\b"
 DIGEST = r"(?i)\b(?:commit|sha-?\d*|md5|checksum|digest|revision|uuid|guid|integrity|etag|blob|tree|parent)\b"
@@ -55,16 +60,14 @@ def candidates(docs: DataFrame, keys: list[str], text: str, source: str | None)
 def with_features(found: DataFrame) -> DataFrame:
     """Adds rule, value and the columns FEATURES."""
     assigned = F.col("hit").rlike(rf"""^(?i:[\w-]*{NAMES}["']?[ \t]*[=:])""")
-    value = F.when(assigned, F.regexp_extract("hit", r"""[=:][ \t]*["']?(.*)$""", 1)).otherwise(F.col("hit"))
+    value = F.when(assigned, F.regexp_extract("hit", r"""[=:][ \t]*["']?((?s:.*))$""", 1)).otherwise(F.col("hit"))
     known = F.col("value").rlike(rf"^(?:{KNOWN})$")
     found = found.withColumn("value", value).withColumn("size", F.greatest(F.length("value"), F.lit(1)))
     v, size = F.col("value"), F.col("size")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / size
-    steps = F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)))
-    pairs = F.size(F.filter(steps, lambda i: F.array_contains(F.array(*map(F.lit, COMMON_PAIRS)), F.lower(F.substring(v, i, F.lit(2))))))
-    chars = F.filter(F.split(v, ""), lambda c: c != "")
-    each = F.array_distinct(chars)
-    entropy = F.aggregate(F.transform(each, lambda c: F.size(F.filter(chars, lambda d: d == c)) / size), F.lit(0.0), lambda total, p: total - p * F.log2(p))
+    pairs = F.regexp_count(F.lower(v), F.lit("(?=" + "|".join(COMMON_PAIRS) + ")"))
+    each = F.array_distinct(F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)))
+    entropy = F.aggregate(F.transform(each, lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / size), F.lit(0.0), lambda total, p: total - p * F.log2(p))
     around = F.concat_ws(" ", "before", F.when(assigned, F.regexp_extract("hit", r"^([^=:]*)", 1)), "after")
     flag = lambda c: c.cast("double")
     return found.withColumns(
