@@ -31,6 +31,8 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
+#: Class tokens with such a part tell of a page's layout or state, not of what the element is: has-sidebar, menu-open.
+STATES = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not|is|open|opened|close|closed|enabled?|disabled?|active|inactive|visible|show|shown|hide|layout|expanded|collapsed)(?=$|[_-])", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，؟¿¡]")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "form", "dialog", "alert"}
@@ -43,7 +45,7 @@ def boilerplate(name: str, attributes: str) -> bool:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'").lower(), key.lower()
-        if key in ("class", "id") and BOILERPLATE.search(value) or key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+        if key in ("class", "id") and any(BOILERPLATE.search(t) and not STATES.search(t) for t in value.split()) or key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
     return False
 
@@ -51,36 +53,47 @@ def boilerplate(name: str, attributes: str) -> bool:
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of each block outside what is left out, in page order, with single spaces."""
     out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, bool]] = []  # block elements, and whether left out
-    text: list[str] = []
-    dark = 0
+    stack: list[tuple[str, bool]] = []  # block elements, inline ones that are left out and those in them; whether left out
+    text: list[str] = []  # of what isn't left out
+    dark = aside = 0  # open elements that are left out, and inline ones on the stack
 
     def end_block() -> None:
         if text:
             said = " ".join(html.unescape("".join(text)).split())
             text.clear()
-            if said and not dark:
-                out.append((tuple(n for n, _ in stack), said))
+            if said:
+                names = [n for n, _ in stack]
+                out.append((tuple(names[: next((k for k, n in enumerate(names) if n in INLINE), len(names))]), said))
 
     def pop(k: int) -> None:
-        nonlocal dark
+        nonlocal dark, aside
         while len(stack) > k:
-            dark -= stack.pop()[1]
+            name, left_out = stack.pop()
+            dark -= left_out
+            aside -= name in INLINE
+
+    def say(piece: str) -> None:
+        if not dark:
+            text.append(piece)
 
     at = 0
     while at < len(page):
         m = MARKUP.search(page, at)
         if not m:
-            text.append(page[at:])
+            say(page[at:])
             break
         if m.start() > at:
-            text.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
             if name in INLINE:
+                for k in range(len(stack) - 1 if aside else -1, -1, -1):
+                    if stack[k][0] == name:
+                        pop(k)
+                        break
                 continue
             end_block()
             for k in range(len(stack) - 1, -1, -1):
@@ -92,8 +105,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
                 end_block()
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
-        elif name in INLINE and not boilerplate(name, m[3]):
-            continue
+        elif name in INLINE:
+            if name == "a" and ("a", True) in stack:  # links don't nest: the next one ends it
+                pop(stack.index(("a", True)))
+            left_out = boilerplate(name, m[3])
+            if (left_out or aside) and name not in VOID and not m[3].rstrip().endswith("/"):
+                stack.append((name, left_out))
+                dark += left_out
+                aside += 1
         else:
             end_block()
             if name in VOID:
@@ -101,7 +120,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
             closes, beyond = CLOSES.get(name, ({"p"}, {"button", "td", "th", "table"}))
             low = len(stack)
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in beyond:
+                if stack[k][0] in beyond or stack[k][0] in INLINE:
                     break
                 if stack[k][0] in closes or stack[k][0] == "p":
                     low = k

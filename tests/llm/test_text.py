@@ -118,3 +118,17 @@ def test_words_of_slices():
     assert [h for g in got for h in g[0].tolist()] == whole[0].tolist()
     assert [n for g in got for n in (g[2][1:] - g[2][:-1]).tolist()] == (whole[2][1:] - whole[2][:-1]).tolist()
     assert list(parts([batch.slice(0, 0)]))[0].num_rows == 0
+
+
+def test_html_inline_boilerplate_ends_with_its_tag():
+    page = lambda x: f"<html><body><article><p>Intro {x} more, of it.</p><p>Body of the page, with marks, and so on.</p></article></body></html>"
+    for x in ('<span class="share">x</span>', '<span class="share">x <span>y</span> z</span>', '<a class="related" href=x><b>x</b></a>', '<i aria-hidden="true"></i>', '<i aria-hidden="true"/>', "<span hidden>x</span>", '<img class="banner" src=x>', '<span class="share"><p>x</p></span>', '<a class="related"><div>x</div></a>'):
+        assert main_text(page(x)) == "Intro more, of it. Body of the page, with marks, and so on.", x
+    assert main_text(page('<span class="share">x</p><p>')) == "Intro more, of it. Body of the page, with marks, and so on."
+
+
+def test_html_layout_classes_are_no_boilerplate():
+    prose = "".join(f"<p>Sentence {i}, which is long, has commas, and ends here.</p>" for i in range(4))
+    for name in ("content has-sidebar", "no-sidebar", "menu-open", "with_header main"):
+        text = main_text(f'<html><body><div class="{name}">{prose}<div class="right-sidebar">Side.</div></div></body></html>')
+        assert text.startswith("Sentence 0, ") and "Side" not in text
