@@ -3,6 +3,10 @@
 Groups are the rows with equal texts, ordered by a hash of the text. The smallest capacity for which a greedy walk
 needs no more shards than there are is found by binary search; the cuts fall there.
 
+A group larger than an even share sets the capacity, and walks up to it would fill few shards and leave others empty.
+Such groups then get a shard of their own where that keeps the capacity, and the runs between them are cut in the same
+way, each into a number of shards that is found at the resolution below.
+
 The walk needs the group sizes only near the cuts. So the order is read at a resolution: one pass sums the sizes of
 2^16 equal ranges of the hash. From these, the search bounds the capacity and, for each cut, the ranges in
 which it can fall; further passes split only those ranges, until each holds a single group. The capacity is then
@@ -48,6 +52,37 @@ def smallest_capacity(sums: list[int], shards: int, low: int | None = None) -> i
     return low
 
 
+def spread(sums: list[int], large: list[int], shards: int, capacity: int) -> list[tuple[int, int, int]]:
+    """(first atom, end, shards) of runs that are cut by themselves: some of the large groups alone, and what lies between.
+
+    The largest ones come first. Of the numbers of them that keep every shard within capacity, the one whose shards are
+    nearest to equal is taken; without any, all atoms are one run.
+    """
+    loads = lambda cuts: [sum(sums[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sums)], strict=True)]
+    least, best = sum(x * x for x in loads(walk(sums, capacity))), [(0, len(sums), shards)]
+    by_size = sorted(large, key=lambda i: -sums[i])
+    for n in range(1, len(large) + 1):
+        alone = sorted(by_size[:n])
+        runs = [(a, b) for a, b in zip([0, *(i + 1 for i in alone)], [*alone, len(sums)], strict=True) if a < b]
+        left = shards - n
+        if left < len(runs):
+            break
+        needed = lambda c: [len(walk(sums[a:b], c)) + 1 for a, b in runs]  # noqa: E731, B023
+        low, high = max((max(sums[a:b]) for a, b in runs), default=0), capacity
+        if sum(needed(high)) > left:
+            continue
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if sum(needed(middle)) <= left else (middle + 1, high)
+        each, size = needed(low), [sum(sums[a:b]) for a, b in runs]
+        for _ in range(left - sum(each) if runs else 0):
+            each[max(range(len(runs)), key=lambda r: size[r] / each[r])] += 1  # noqa: B023
+        score = sum(sums[i] ** 2 for i in alone) + sum(x * x / k for x, k in zip(size, each, strict=True))
+        if score < least:
+            least, best = score, sorted([(i, i + 1, 1) for i in alone] + [(a, b, k) for (a, b), k in zip(runs, each, strict=True)])
+    return best
+
+
 def open_atoms(atoms: list[tuple[int, int, int, bool]], shards: int) -> list[int]:
     """Atoms of several groups in which a cut of the best partition may fall.
 
@@ -84,9 +119,18 @@ def cuts_of(rows: DataFrame, shards: int) -> list[int]:
         atoms = sorted([x for x in atoms if (x[0], x[1]) not in set(spans)] + [(r.a, r.b, r.size, r.a == r.b) for r in new.collect()])
         if not atoms:
             return []
-        spans = [atoms[i][:2] for i in open_atoms(atoms, shards)]
+        share = -(-sum(x[2] for x in atoms) // shards)
+        spans = [atoms[i][:2] for i in sorted({*open_atoms(atoms, shards), *(i for i, x in enumerate(atoms) if x[2] > share and not x[3])})]
     sums = [a[2] for a in atoms]
-    return [atoms[i][0] for i in walk(sums, smallest_capacity(sums, shards))]
+    capacity = smallest_capacity(sums, shards)
+    runs = spread(sums, [i for i, x in enumerate(atoms) if x[2] > share and x[3]], shards, capacity)
+    if len(runs) == 1:
+        return [atoms[i][0] for i in walk(sums, capacity)]
+    cuts = []
+    for a, b, n in runs:
+        first, last = atoms[a][0], atoms[b - 1][1]
+        cuts += [first] + (cuts_of(rows.filter(F.col("h").between(first, last)), n) if n > 1 else [])
+    return cuts[1:]
 
 
 def shard_of(h: Column, cuts: list[int]) -> Column:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm.bpe import WordBPE, bpe_digests, encode_ids
 from seqloom.llm.exact_dedup import drop_copies, exact_dedup
@@ -127,3 +128,13 @@ def test_sharding_edges(spark):
     assert assign_shards(docs(spark, []), 24).count() == 0
     got = assign_shards(docs(spark, [(1, "a"), (1, "a"), (None, None)]), 24).collect()
     assert len(got) == 3 and len({(r.shard, r.slot) for r in got}) == 3
+
+
+def test_a_group_of_a_third_leaves_no_shard_empty(spark):
+    rows = [(i, f"{i} " * 40) for i in range(2000)]
+    third = sum(len(t) + 8 for _, t in rows) // 2
+    rows += [(10_000 + i, "x" * 992) for i in range(third // 1000)]
+    got = assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 24).groupBy("shard").agg(F.sum("size").alias("size")).collect()
+    sizes = sorted(r["size"] for r in got)
+    assert len(sizes) == 24 and sizes[-1] == 1000 * (third // 1000)
+    assert sizes[-2] < 1.1 * sum(sizes[:-1]) / 23 and sizes[0] > 0.5 * sizes[-2]
