@@ -3,14 +3,18 @@
 Shingles are 64-bit hashes in one global order: those that many documents have come last, then by hash. Two sets with a
 similarity of at least the threshold share a shingle within the prefixes of that order.
 
-1. Equal sets collapse to the smallest doc_id; sets with equal prefixes and sizes collapse to one group, whose leader
-   is the smallest doc_id in it.
-2. Leaders are dealt out by prefix shingle. Each bucket yields the pairs of groups that the bounds on sizes and
-   positions allow. From a bucket of more than BUCKET groups come a star (all with a few leaders) and neighbours first.
-3. Pairs of groups expand to pairs of members, whose whole sets are compared.
-4. Links give components. Large buckets and groups then yield the pairs whose components still differ and that a bound
-   on their difference (a map of parities) can't rule out, so that nothing is left out; members that a star has linked
-   already need no further comparison.
+1. Equal sets collapse to the smallest doc_id; sets with equal prefixes and sizes collapse to groups of about GROUP,
+   whose leader is the smallest doc_id in it.
+2. Leaders are dealt out by prefix shingle, frequent ones over several parts. Each bucket yields the pairs of groups
+   that the bounds on sizes and positions allow. A bucket of more than BUCKET groups yields a star (all with a few
+   leaders) and neighbours only.
+3. Pairs of groups expand to pairs of members. Those that a bound on their difference (a map of parities) can't rule
+   out are compared by their whole sets.
+4. Links give components. The members of large buckets are then compared across components in rounds: buckets with one
+   first document make one cluster, a cluster is cut into cells of bounded size, and each cell yields for every member
+   outside the cluster's main component its nearest few of other components. Verified links join components; the next
+   round takes more cells and more of the nearest, until nothing is left out. So no link between components is lost,
+   and rows stay in proportion to members as long as the links found close the cluster.
 
 Which shingles count as frequent decides only the order, not the result; at most FREQUENT of them are broadcast.
 """
@@ -21,20 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.llm.shared import materialise, partitions, rows_with, small_batches
+from seqloom.llm.shared import bounded, materialise, partitions, rows_with, small_batches
 from seqloom.llm.words import batch_words, give_back, mix, parts, white_space
 
 SHINGLE = 5
 PERCENT = 75  # least similarity
+GROUP = 8  # members of a group, about
 BUCKET = 64  # groups of a bucket whose pairs are all made at once
 STAR, NEAR = 3, 2
 FREQUENT_FROM = 24  # documents whose prefixes have the shingle
-FREQUENT = 1 << 18  # frequent shingles that are broadcast, 2 MB
+FREQUENT = 1 << 18  # frequent shingles that are broadcast, 3 MB with their parts
+SPLIT = 2048  # documents of a part of a frequent shingle's bucket, about
 OPEN_ROWS = 1 << 20  # rows of one bucket that are held at once
+CELL = 4096  # members of a cluster that are compared with as many in one place, about
+NEAREST, WIDTH, GROWTH = 16, 1, 8  # of the first round: partners of a member, cells of a member's row; and their growth
 MAP_BITS = 1024  # of the parity map of a set
 MAP = [f"m{i}" for i in range(MAP_BITS // 64)]
 FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
@@ -85,8 +93,25 @@ def docs_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def frequent_shingles(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """Sorted: the shingles that are in the most hash-ordered prefixes, FREQUENT at most, of all documents."""
+class Frequent:
+    """Sorted frequent shingles, and the number of parts of each one's bucket."""
+
+    def __init__(self, tokens: list[int] = (), counts: list[float] = ()):
+        found = np.array(tokens, np.int64).view(np.uint64)
+        order = np.argsort(found)
+        self.tokens, self.parts = found[order], np.ceil(np.array(counts, float)[order] / SPLIT).astype(np.int32)
+
+    def salts(self, shingles: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The part of the shingle's bucket that the document goes to; -1 where there is only one."""
+        if not len(self.tokens):
+            return np.full(len(shingles), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.tokens, shingles), len(self.tokens) - 1)
+        n = np.where(self.tokens[at] == shingles, self.parts[at], 1)
+        return np.where(n > 1, mix(ids.astype(np.int64).view(np.uint64)) % n.astype(np.uint64), -1).astype(np.int32)
+
+
+def frequent_shingles(docs: DataFrame, k: int, percent: int) -> Frequent:
+    """The shingles that are in the most hash-ordered prefixes, FREQUENT at most, of all documents."""
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,45 +128,59 @@ def frequent_shingles(docs: DataFrame, k: int, percent: int) -> np.ndarray:
         if held > FREQUENT:
             break
         least = step.step
-    rows = counts.filter(F.col("step") >= least).select("token").collect() if least is not None else []
-    return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
+    rows = counts.filter(F.col("step") >= least).collect() if least is not None else []
+    return Frequent([r.token for r in rows], [2 ** ((r.step + 1) / 16) for r in rows])
 
 
-def read_sets(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set), grp (of its prefix), m0, m1, ... (parity map: for each value of some bits of
-    the hash, whether an odd number of shingles has it; two sets differ by at least as many shingles as their maps by bits)."""
+def digests(sets: list[np.ndarray], salt: int) -> pa.Array:
+    """A hash of each set as a whole."""
+    size = np.array([len(s) for s in sets], np.int64)
+    every = np.append(mix(np.concatenate([np.zeros(0, np.uint64), *sets]) + np.uint64(salt)), np.uint64(0))
+    total = np.add.reduceat(every, np.cumsum(size) - size) if len(size) else np.zeros(0, np.uint64)
+    return signed(mix(np.where(size > 0, total, np.uint64(0)) + size.astype(np.uint64)))
 
-    def digest(x: np.ndarray, salt: int) -> int:
-        return int(mix(mix(x + np.uint64(salt)).sum(keepdims=True) + np.uint64(len(x))).view(np.int64)[0])
+
+def parity_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each value of some bits of the hash, whether an odd number of the set's shingles has it, as a row of longs."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(20)) % np.uint64(MAP_BITS)
+    odd = np.bincount(row * MAP_BITS + bit.astype(np.int64), minlength=len(sets) * MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, MAP_BITS), axis=1).view(np.int64)
+
+
+def read_sets(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
+    """doc_id, n, sig and sig2 (of the whole set), grp and grp2 (of its prefix), m0, m1, ... (parity map)."""
+    names = ["n", "sig", "sig2", "grp", "grp2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             sets = batch_sets(batch.column(1), k)
-            columns = [[len(s) for s in sets], [digest(s, 1) for s in sets], [digest(prefix(s, frequent.value, percent), 2) for s in sets]]
-            odd = [np.bincount(((s >> np.uint64(20)) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 for s in sets]
-            maps = np.packbits(np.array(odd, np.uint8).reshape(-1, MAP_BITS), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *(pa.array(c) for c in maps.T)], ["doc_id", "n", "sig", "grp", *MAP])
+            heads = [prefix(s, frequent.value.tokens, percent) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), digests(sets, 1), digests(sets, 2), digests(heads, 3), digests(heads, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(pa.array(c) for c in parity_maps(sets).T)], ["doc_id", *names, *MAP])
 
-    return small_batches(docs).mapInArrow(run, "doc_id long, n long, sig long, grp long" + "".join(f", {m} long" for m in MAP))
+    return small_batches(docs).mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in [*names, *MAP]))
 
 
 def prefix_rows(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """token, doc_id, n, pos for each shingle of each prefix."""
+    """token, salt (part of the token's bucket), doc_id, n, pos for each shingle of each prefix."""
+    types = {"token": pa.int64(), "salt": pa.int32(), "doc_id": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             sets = batch_sets(batch.column(1), k)
-            heads = [prefix(s, frequent.value, percent) for s in sets]
+            heads = [prefix(s, frequent.value.tokens, percent) for s in sets]
             size = np.array([len(h) for h in heads], np.int64)
-            ids = np.asarray(batch.column(0))
+            ids = np.repeat(np.asarray(batch.column(0)), size)
             pos = np.concatenate([np.zeros(0, np.int64), *(np.arange(s) for s in size)])
             n = np.repeat(np.array([len(s) for s in sets], np.int64), size)
+            tokens = np.concatenate([np.zeros(0, np.uint64), *heads])
+            arrays = [tokens.view(np.int64), frequent.value.salts(tokens, ids), ids, n, pos]
             step = 1 << 16
-            arrays = [np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64), np.repeat(ids, size), n, pos]
             for a in range(0, len(pos), step):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + step], t) for x, t in zip(arrays, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["token", "doc_id", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + step], t) for x, t in zip(arrays, types.values(), strict=True)], list(types))
 
-    return small_batches(docs).mapInArrow(run, "token long, doc_id long, n int, pos int")
+    return small_batches(docs).mapInArrow(run, "token long, salt int, doc_id long, n int, pos int")
 
 
 def may_match(n1, p1, n2, p2, percent: int):
@@ -164,30 +203,32 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator
 
 
 def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, star: int, near: int, open_rows: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and doc_id: pairs (a, b), and the rows of large buckets (a, token, n, pos)."""
-    names = ["a", "b", "token", "n", "pos"]
+    """Of rows (token, salt, doc_id, n, pos) sorted by the first three: pairs (a, b), and the rows of large buckets (a, token, lead, n, pos).
 
-    def out(a, b, token=None, n=None, pos=None) -> pa.RecordBatch:
-        null = lambda t: pa.nulls(len(a), t)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else null(pa.int64()), pa.array(token, pa.int64()) if token is not None else null(pa.int64()), pa.array(n, pa.int32()) if n is not None else null(pa.int32()), pa.array(pos, pa.int32()) if pos is not None else null(pa.int32())], names)
+    lead is the first document of the part of the bucket. A bucket in several parts is large.
+    """
+    types = {"a": pa.int64(), "b": pa.int64(), "token": pa.int64(), "lead": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
+
+    def out(**columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(len(columns["a"]), t) for k, t in types.items()], list(types))
 
     def keep(i, j, d, n, p) -> Iterator[pa.RecordBatch]:
         ok = may_match(n[i].astype(np.int64), p[i], n[j].astype(np.int64), p[j], percent) & (d[i] != d[j])
         if ok.any():
-            yield out(np.minimum(d[i], d[j])[ok], np.maximum(d[i], d[j])[ok])
+            yield out(a=np.minimum(d[i], d[j])[ok], b=np.maximum(d[i], d[j])[ok])
 
-    def work(columns: list[np.ndarray], going_on: int | None) -> Iterator[pa.RecordBatch]:
-        """going_on: the token of a large bucket that began in rows before these."""
-        t, d, n, p = columns
+    def work(columns: list[np.ndarray], going_on: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+        """going_on: the token and part of a large bucket that began in rows before these."""
+        t, part, d, n, p = columns
         if not len(t):
             return
-        first = np.concatenate([[True], t[1:] != t[:-1]])
+        first = np.concatenate([[True], (t[1:] != t[:-1]) | (part[1:] != part[:-1])])
         begins = np.flatnonzero(first)
         of = np.cumsum(first) - 1
         size, start = np.diff(np.append(begins, len(t)))[of], begins[of]
-        big = size > bucket
+        big = (size > bucket) | (part >= 0)
         if going_on is not None:
-            big |= t == going_on
+            big |= (t == going_on[0]) & (part == going_on[1])
         i, lag = np.flatnonzero(size > 1), 1
         while len(i := i[(i - start[i] >= lag) & (~big[i] | (lag <= near))]):
             yield from keep(i, i - lag, d, n, p)
@@ -197,30 +238,47 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, s
             i = rows[rows - start[rows] > max(s, near)]
             yield from keep(i, start[i] + s, d, n, p)
         if len(rows):
-            yield out(d[rows], None, t[rows], n[rows], p[rows])
+            yield out(a=d[rows], token=t[rows], lead=d[start[rows]], n=n[rows], pos=p[rows])
 
-    held = [np.zeros(0, np.int64)] * 4
+    held = [np.zeros(0, np.int64)] * 5
     going_on = None
     for batch in together(batches):
         columns = [np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held)]
-        t = columns[0]
+        t, part = columns[:2]
         if not len(t):
             continue
         cut = int(np.searchsorted(t, t[-1]))
+        cut += int(np.searchsorted(part[cut:], part[-1]))
         if len(t) - cut <= open_rows:
             yield from work([x[:cut] for x in columns], going_on)
             held = [x[cut:] for x in columns]
             going_on = going_on if cut == 0 else None
         else:  # a bucket that isn't kept whole: its leaders stay, and what follows is compared with them
-            yield from work(columns, int(t[-1]))
-            held, going_on = [x[cut : cut + star] for x in columns], int(t[-1])
+            yield from work(columns, (int(t[-1]), int(part[-1])))
+            held, going_on = [x[cut : cut + star] for x in columns], (int(t[-1]), int(part[-1]))
     yield from work(held, going_on)
     give_back()
 
 
+def size_and_map_allow(percent: int) -> Column:
+    """Whether rows with n and the map of one set, n_y and the map (with _y) of another can be of similar sets.
+
+    Similar sets of n1 and n2 shingles differ by at most (100 - percent) / (100 + percent) of n1 + n2.
+    """
+    apart = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_y"))) for m in MAP)
+    return (percent * F.greatest("n", "n_y") <= 100 * F.least("n", "n_y")) & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_y")))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that size_and_map_allow(), each once."""
+    maps = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", *MAP)
+    one = maps.withColumnRenamed("doc_id", "a").hint("merge")
+    two = maps.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_y") for c in ("n", *MAP))).hint("merge")
+    return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").filter(size_and_map_allow(percent)).select("a", "b").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose texts' whole shingle sets are similar, each once."""
-    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+    """Of the distinct pairs (a, b), a written table, those whose texts' whole shingle sets are similar, each once for each pair of rows."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = rows_with(docs, materialise(ids, "ids"), "left_semi")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
@@ -242,12 +300,91 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of members of pairs of groups (a, b), with whether it is one of few or has a leader in it (soon)."""
-    one = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("x"), F.col("size").alias("size_a"))
-    two = members.select(F.col("leader").alias("b"), F.col("doc_id").alias("y"), F.col("size").alias("size_b"))
+    """Pairs (a, b) of members of the pairs of groups; a group has a bounded number of members."""
+    one = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("x"))
+    two = members.select(F.col("leader").alias("b"), F.col("doc_id").alias("y"))
     both = pairs.join(one, "a").join(two, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    soon = (F.col("size_a") * F.col("size_b") <= BUCKET * BUCKET) | (F.col("x") == F.col("a")) | (F.col("y") == F.col("b"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), soon.alias("soon")).filter("a <> b")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b")
+
+
+def clusters(large: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """cluster, doc_id, n, pos, map for the members of large buckets, each once for each cluster.
+
+    A cluster is the buckets whose smallest document is the same: buckets of one passage have mostly one. Its members
+    all share a shingle with that document, so clusters don't grow by chains. pos is the least position of a shared one.
+    """
+    part = large.select("token", "lead").distinct()
+    whole = part.join(part.groupBy("token").agg(F.min("lead").alias("cluster")), "token")
+    rows = large.join(whole.hint("merge"), ["token", "lead"]).groupBy("cluster", "a", "n").agg(F.min("pos").alias("pos"))
+    each = rows.join(members.select(F.col("leader").alias("a"), "doc_id"), "a").select("cluster", "doc_id", "n", "pos")
+    maps = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").alias("of"), *MAP).distinct()
+    return materialise(each.join(maps.hint("merge"), "doc_id").filter("n = of").drop("of"), "clusters")
+
+
+def cells(rows: DataFrame, component: DataFrame, width: int) -> DataFrame:
+    """The rows of clusters with several components, dealt to the cells (cluster, x, y) that compare them.
+
+    Members outside the main component (open) are hashed to rows y of about CELL, all members to columns x; role says
+    whether one stands in its cell for its row (1), its column (0) or both (2). A row meets width columns, and left is
+    true where there are more of them.
+    """
+    placed = rows.join(component.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    per = placed.groupBy("cluster", "component").agg(F.count("*").alias("held"))
+    size = per.groupBy("cluster").agg(F.sum("held").alias("all"), F.max("held").alias("most"), F.max_by("component", "held").alias("main")).filter("most < all")
+    size = size.select("cluster", "main", F.ceil(F.col("all") / CELL).cast("int").alias("across"), F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("down"))
+    known = placed.join(bounded(size), "cluster")
+    x, y = (F.pmod(F.xxhash64("doc_id", F.lit(s)), F.col(n)).cast("int") for s, n in ((1, "across"), (2, "down")))
+    cell = lambda x, y, role: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(role).alias("role"))
+    small = (F.col("across") == 1) & (F.col("down") == 1)
+    is_open = F.col("component") != F.col("main")
+    rows_of = F.filter(F.sequence(F.lit(0), F.col("down") - 1), lambda j: F.pmod(F.col("x") - j, F.col("across")) < width)
+    columns_of = F.transform(F.sequence(F.lit(0), F.least(F.lit(width), F.col("across")) - 1), lambda d: F.pmod(F.col("y") + d, F.col("across")))
+    both = F.concat(F.transform(rows_of, lambda j: cell(F.col("x"), j, 0)), F.when(is_open, F.transform(columns_of, lambda i: cell(i, F.col("y"), 1))).otherwise(F.array().cast("array<struct<x:int,y:int,role:int>>")))
+    at = F.when(small, F.array(F.when(is_open, cell(F.lit(0), F.lit(0), 2)).otherwise(cell(F.lit(0), F.lit(0), 0)))).otherwise(both)
+    dealt = known.withColumn("x", x).withColumn("y", y).withColumn("at", F.explode(at)).withColumn("left", F.col("across") > width)
+    return dealt.select("cluster", "at.x", "at.y", "at.role", "doc_id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "component", "left", *MAP)
+
+
+def cell_pairs(batches: Iterator[pa.RecordBatch], percent: int, nearest: int) -> Iterator[pa.RecordBatch]:
+    """Of cells' rows sorted by cell: pairs (a, b) of different components that the bounds allow, for each open member
+    the nearest ones by their maps, and (null, null) where a cell has more of them."""
+
+    def work(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+        role, d, n, p, c, left = (rows.column(k).to_numpy() for k in ("role", "doc_id", "n", "pos", "component", "left"))
+        maps = np.stack([rows.column(m).to_numpy() for m in MAP], 1).view(np.uint64)
+        own, others = np.flatnonzero(role > 0), np.flatnonzero(role != 1)
+        a, b, more = [], [], bool(left.any()) and len(own) > 0
+        for i in own.tolist():
+            ok = others[may_match(n[i], p[i], n[others], p[others], percent) & (c[others] != c[i])]
+            apart = np.bitwise_count(maps[ok] ^ maps[i]).sum(1, dtype=np.int64)
+            near = apart * (100 + percent) <= (100 - percent) * (n[ok] + n[i])
+            ok, apart = ok[near], apart[near] / (n[ok][near] + n[i])
+            if len(ok) > nearest:
+                more, ok = True, ok[np.argsort(apart, kind="stable")[:nearest]]
+            a.append(np.minimum(d[ok], d[i]))
+            b.append(np.maximum(d[ok], d[i]))
+        return a, b, more
+
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        a, b, more = work(rows)
+        both = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array([*x.tolist(), *[None] * more], pa.int64()) for x in both.T], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    of = None
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if x == y:
+                continue
+            if of != (of := tuple(key[x].tolist())) and held:
+                yield out(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield out(pa.Table.from_batches(held))
+    give_back()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -266,65 +403,47 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     frequent = spark.sparkContext.broadcast(frequent_shingles(named, k, percent))
     sets = materialise(read_sets(docs, frequent, k, percent), "sets")
 
-    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"))
+    key, group = ["sig", "sig2", "n"], ["grp", "grp2", "n"]
+    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.min("grp2").alias("grp2"))
     classes = materialise(classes, "classes")
-    groups = classes.groupBy("grp", "n").agg(F.min("rep").alias("leader"), F.count("*").alias("size"))
-    members = materialise(classes.join(groups, ["grp", "n"]).select("leader", F.col("rep").alias("doc_id"), "size"), "members")
-
-    leaders = members.filter("leader = doc_id").select("doc_id")
-    rest = materialise(sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(leaders, "doc_id", "left_anti"), "rest")
+    # groups of about GROUP: larger ones are cut by a hash of their members
+    cut = materialise(classes.groupBy(*group).agg(F.ceil(F.count("*") / GROUP).alias("pieces")).filter("pieces > 1"), "cut")
+    pieces = classes.join(bounded(cut), group, "left").withColumn("piece", F.pmod(F.xxhash64("rep"), F.coalesce("pieces", F.lit(1))))
+    leaders = pieces.groupBy(*group, "piece").agg(F.min("rep").alias("leader"), F.count("*").alias("size"))
+    members = materialise(pieces.join(leaders, [*group, "piece"]).select("leader", F.col("rep").alias("doc_id"), "size"), "members")
+
+    first = members.filter("leader = doc_id").select("doc_id")
+    rest = materialise(sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(first, "doc_id", "left_anti"), "rest")
     dealt = prefix_rows(rows_with(named, rest, "left_anti"), frequent, k, percent)
     limits = percent, BUCKET, STAR, NEAR, OPEN_ROWS
-    found = materialise(dealt.repartition(partitions(spark), "token").sortWithinPartitions("token", "doc_id").mapInArrow(lambda batches: bucket_pairs(batches, *limits), "a long, b long, token long, n int, pos int"), "found")
+    found = materialise(dealt.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "doc_id").mapInArrow(lambda batches: bucket_pairs(batches, *limits), "a long, b long, token long, lead long, n int, pos int"), "found")
 
     groups_of_many = members.filter("size > 1 AND leader = doc_id").select(F.col("leader").alias("a"), F.col("leader").alias("b"))
-    group_pairs = materialise(found.filter("b IS NOT NULL").select("a", "b").union(groups_of_many).distinct(), "group-pairs")
-    links = verify(expanded(group_pairs, members).filter("soon"), named, k, percent)
+    group_pairs = found.filter("b IS NOT NULL").select("a", "b").union(groups_of_many).distinct()
+    pairs = materialise(possible(expanded(group_pairs, members), sets, percent), "pairs")
+    links = verify(pairs, named, k, percent)
     component = components(links)
 
-    large = found.filter("b IS NULL")
-    late = materialise(open_pairs(large, sets, members, group_pairs, component, percent).join(links, ["a", "b"], "left_anti"), "late")
-    if late.limit(1).count():
-        component = components(links.union(verify(late, named, k, percent)))
-
-    reached = classes.select("sig", "n", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    of = reached.select("sig", "n", F.coalesce("component", "rep").alias("component"))
+    rows = clusters(found.filter("b IS NULL"), members, sets)
+    nearest, width, left = NEAREST, WIDTH, rows.limit(1).count()
+    while left:
+        dealt = cells(rows, component, width).repartition(partitions(spark), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+        late = materialise(dealt.mapInArrow(lambda batches, n=nearest: cell_pairs(batches, percent, n), "a long, b long").distinct(), "late")
+        new = materialise(late.filter("a IS NOT NULL").join(pairs, ["a", "b"], "left_anti"), "new-pairs")
+        if new.limit(1).count():
+            links, pairs = links.union(verify(new, named, k, percent)), pairs.union(new)
+            component = components(links)
+        left = late.filter("a IS NULL").limit(1).count()
+        nearest, width = GROWTH * nearest, GROWTH * width
+
+    reached = classes.select(*key, "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    of = reached.select(*key, F.coalesce("component", "rep").alias("component"))
     return (
-        sets.join(of.hint("merge"), ["sig", "n"], "left")
+        sets.join(of.hint("merge"), key, "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     )
 
 
-def open_pairs(large: DataFrame, sets: DataFrame, members: DataFrame, group_pairs: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs from large buckets and large groups whose components differ so far.
-
-    Buckets' groups expand to members here, so that the parity maps of their own sets can rule pairs out: similar sets
-    of n1 and n2 shingles differ by at most (100 - percent) / (100 + percent) of n1 + n2.
-    """
-    part = component.select(F.col("node").alias("doc_id"), "component")
-    rows = large.select(F.col("a").alias("leader"), "token", "n", "pos").join(members.select("leader", "doc_id"), "leader").drop("leader")
-    placed = rows.join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    maps = sets.filter("n > 0").select("doc_id", *MAP).distinct()
-    x = materialise(placed.join(several, "token", "left_semi").join(maps, "doc_id"), "open")
-    y = x.select("token", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "component", *MAP)))
-    total, apart = F.col("n") + F.col("n_y"), sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_y"))) for m in MAP)
-    ok = (
-        (F.col("component") != F.col("component_y"))
-        & (F.col("doc_id") < F.col("doc_id_y"))
-        & (percent * F.greatest("n", "n_y") <= 100 * F.least("n", "n_y"))
-        & (F.least(F.col("n") - F.col("pos"), F.col("n_y") - F.col("pos_y")) * (100 + percent) >= percent * total)
-        & (apart * (100 + percent) <= (100 - percent) * total)
-    )
-    from_buckets = x.join(y.hint("merge"), ["token"]).filter(ok).select(F.col("doc_id").alias("a"), F.col("doc_id_y").alias("b")).distinct()
-    many = members.filter(F.col("size") > BUCKET).select("leader").distinct()
-    of_many = group_pairs.join(many.withColumnRenamed("leader", "a"), "a", "left_semi").union(group_pairs.join(many.withColumnRenamed("leader", "b"), "b", "left_semi").select("a", "b")).distinct()
-    from_groups = expanded(of_many, members).filter("NOT soon").select("a", "b")
-    first, second = part.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), part.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    every = from_buckets.union(from_groups).distinct().join(first, "a", "left").join(second, "b", "left")
-    return every.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest, all columns as they are. Rows without doc_id stay."""
     copies = jaccard_components(docs, text, doc_id).filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()

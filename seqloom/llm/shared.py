@@ -63,6 +63,14 @@ def rows_with(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(F.broadcast(ids) if small else ids.hint("merge"), key, how).select(docs.columns)
 
 
+BROADCAST_ROWS = 100_000  # of a table of a few columns
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has BROADCAST_ROWS at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 ARROW_ROWS = 2000
 
 

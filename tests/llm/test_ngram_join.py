@@ -65,17 +65,33 @@ def run(spark, rows):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()}
 
 
-@pytest.mark.parametrize(("seed", "bucket", "open_rows"), [(1, 64, 1 << 20), (2, 3, 1 << 20), (3, 4, 7)])
-def test_equals_brute_force(spark, monkeypatch, seed, bucket, open_rows):
-    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
-    monkeypatch.setattr(ngram_join, "STAR", 1)
-    monkeypatch.setattr(ngram_join, "NEAR", 1)
-    monkeypatch.setattr(ngram_join, "OPEN_ROWS", open_rows)
-    monkeypatch.setattr(ngram_join, "FREQUENT_FROM", 6)
+SMALL = {"STAR": 1, "NEAR": 1, "FREQUENT_FROM": 6}
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(1, {"FREQUENT_FROM": 6}), (2, SMALL | {"BUCKET": 3, "NEAREST": 1, "GROWTH": 2}), (3, SMALL | {"BUCKET": 4, "OPEN_ROWS": 7, "CELL": 9, "GROUP": 1}), (4, SMALL | {"BUCKET": 3, "SPLIT": 12, "CELL": 5, "NEAREST": 2, "GROWTH": 3})])
+def test_equals_brute_force(spark, monkeypatch, seed, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = make(seed)
     assert run(spark, rows) == brute(rows)
 
 
+def test_a_large_group_of_equal_prefixes(spark, monkeypatch):
+    """Sets of one size that differ in late shingles only, some of them too much to link with the first."""
+    monkeypatch.setattr(ngram_join, "FREQUENT_FROM", 3)
+    monkeypatch.setattr(ngram_join, "BUCKET", 4)
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in r.sample(range(60), r.choice([1, 2, 3, 6])):
+            words[at] = f"c{r.randrange(12)}"
+        rows.append((i * 7 % 1000, " ".join(words)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(empty).count() == 0
