@@ -6,6 +6,7 @@ python -m seqloom.cli -a DNA -i in.fa -o out -d 0 -k 6 -e 1 -q 12
 from __future__ import annotations
 
 import argparse
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -57,20 +58,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if spark is None:
         builder = SparkSession.builder.appName("seqloom")
         spark = (builder.master(f"local[{args.num_of_threads}]") if args.num_of_threads else builder).getOrCreate()
+    began = time.perf_counter()
     boxes = read_boxes(spark, args.boxes_in_file) if args.boxes_in_file else ()
     params = MotifParams(args.motifs_length, args.max_num_of_errors, args.quorum, ("hamming", "edit")[args.distance], args.alphabet, args.max_quorum, args.num_of_occ, args.max_num_of_occ, boxes)
     sequences = read_fasta(spark, args.input_file, args.alphabet)
+    run = sinks.Run(args.input_file, args.output_file, args.boxes_in_file or "-", processors=spark.sparkContext.defaultParallelism, began=began)
     if args.unmatched_in_file:
-        sinks.write_research(background.research(read_motifs(spark, args.unmatched_in_file), sequences, params), args.output_file, params, sequences)
+        sinks.write_research(background.research(read_motifs(spark, args.unmatched_in_file), sequences, params), args.output_file, params, sequences, run)
         return
     found = extract_motifs(sequences, params)
     if args.background_file:
         bg, n, q = read_result(spark, args.background_file)
-        sinks.write_background(background.compare(found, bg, n, q), args.output_file, args.unmatched_out_file, params, sequences, args.SMILE_out_file, args.unmatched_SMILE_out_file)
+        sinks.write_background(background.compare(found, bg, n, q), bg.count(), params, sequences, args.output_file, args.unmatched_out_file, args.SMILE_out_file, args.unmatched_SMILE_out_file, run)
         return
-    sinks.write_native(found, args.output_file, params, sequences, args.input_file)
-    if args.SMILE_out_file:
-        sinks.write_smile(found, args.SMILE_out_file, params, sequences)
+    sinks.write_result(found, params, sequences, args.output_file, args.SMILE_out_file, run)
 
 
 if __name__ == "__main__":

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_CEILING, Decimal
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,10 +43,15 @@ def absolute_quorum(q: Column | float, n: Column) -> Column:
     return F.ceil((q if isinstance(q, Column) else F.lit(float(q))) * n / 100.0)
 
 
-def printed_pvalue(value: float) -> str:
-    """Ten significant digits, rounded up."""
-    if value == 0:
-        return "0.000000000e+00"
-    exact = Decimal(value)
-    up = exact.quantize(Decimal(1).scaleb(exact.adjusted() - 9), ROUND_CEILING)
-    return f"{up.scaleb(-up.adjusted()):.9f}e{up.adjusted():+03d}"
+def printed_pvalue(p: Column) -> Column:
+    """Ten significant digits, rounded up, and the exponent unless it is 0: 1.111111112e-1 for 1/9; 0 for 0.
+
+    Rounds the thirteenth digit to the nearest first, so that the sums' own errors don't count as something above.
+    """
+    said = F.format_string("%.12e", p)
+    digits, exponent = F.translate(F.substring(said, 1, 14), ".", "").cast("long"), F.substring_index(said, "e", -1).cast("int")
+    up = F.floor((digits + 999) / 1000)
+    carry = up == 10**10
+    text, exponent = F.when(carry, F.lit(str(10**9))).otherwise(up.cast("string")), exponent + carry.cast("int")
+    value = F.concat(F.substring(text, 1, 1), F.lit("."), F.substring(text, 2, 9), F.when(exponent != 0, F.concat(F.lit("e"), exponent.cast("string"))).otherwise(""))
+    return F.when(p == 0, "0").otherwise(value)

@@ -38,11 +38,13 @@ def unmatched(foreground: DataFrame, background: DataFrame) -> DataFrame:
 def research(motifs: DataFrame, sequences: DataFrame, params: MotifParams) -> DataFrame:
     """Given motifs (motif, u, num_seqs, ratio, v and others) counted in sequences: fg_* of the motif, bg_ratio, bg_v, pvalue.
 
-    Every given row that lies within the thresholds there comes once; columns besides, such as the order, stay.
+    Every given row that lies within the thresholds there comes once; columns besides, such as the order, stay. A motif
+    of another length is an error, found before anything else is read.
     """
-    own = motifs.withColumn("motif", F.when(F.length("motif") == params.k, F.col("motif")).otherwise(F.raise_error(F.concat(F.lit(f"not of {params.k} symbols: "), "motif"))))
-    found = thresholds(count_occurrences(own.select("motif").distinct(), sequences, params), number_of(sequences), params)
+    if wrong := motifs.filter(F.length("motif") != params.k).select("motif").first():
+        raise ValueError(f"not of {params.k} symbols: {wrong.motif}")
+    found = thresholds(count_occurrences(motifs.select("motif").distinct(), sequences, params), number_of(sequences), params)
     found = found.select("motif", F.col("u").alias("bg_u"), F.col("num_seqs").alias("bg_n"), F.col("v").alias("bg_v"))
-    named = own.withColumnsRenamed({"u": "fg_u", "num_seqs": "fg_n", "ratio": "fg_ratio", "v": "fg_v"})
+    named = motifs.withColumnsRenamed({"u": "fg_u", "num_seqs": "fg_n", "ratio": "fg_ratio", "v": "fg_v"})
     both = named.join(found, "motif").withColumn("bg_ratio", ratio(F.col("bg_u"), F.col("bg_n")))
     return both.withColumn("pvalue", binomial_tail(F.col("fg_u"), F.col("fg_n"), F.col("bg_ratio"))).drop("bg_u", "bg_n")

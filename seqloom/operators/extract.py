@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.stats import ratio, within_quorum
-from seqloom.functions.words import mismatches
+from seqloom.functions.stats import absolute_quorum, ratio, within_quorum
+from seqloom.functions.words import masks
 from seqloom.operators.windows import edit_contexts, kmer_windows, structured_tuples
 from seqloom.params import MotifParams
 from seqloom.plans.similarity import edit_context_pairs, hamming_pairs
 
+MASKED = 1 << 20  # words with a mask that are broadcast at most, by the alphabet's size
+
 
 def number_of(sequences: DataFrame) -> Column:
     """N, the number of sequences that aren't empty, as a scalar subquery."""
@@ -27,11 +31,16 @@ def word_counts(sequences: DataFrame, k: int) -> DataFrame:
     return kmer_windows(sequences, k).groupBy("word", "seq_id").agg(F.count("*").alias("cnt"), F.min("end_pos").alias("end_pos"))
 
 
-def count_occurrences(motifs: DataFrame, texts: DataFrame, params: MotifParams) -> DataFrame:
-    """motif, u, v over texts (seq_id, seq) for the distinct motifs (motif) of k symbols; those without any are missing."""
+def count_occurrences(motifs: DataFrame, texts: DataFrame, params: MotifParams, seen: bool = False) -> DataFrame:
+    """motif, u, v over texts (seq_id, seq) for the distinct motifs (motif) of k symbols; those without any are missing.
+
+    seen: the motifs are words of sequences over the alphabet, so that its size bounds their number.
+    """
     k, e = params.k, params.e
     if params.distance == "hamming":
         counts = word_counts(texts, k)
+        if seen and e and len(params.symbols) ** k * comb(k, e) <= MASKED:
+            return count_by_masks(motifs, counts, params)
         pairs = hamming_pairs(motifs, counts.select("word").distinct(), k, e)
         return two_levels(pairs.join(counts, "word"), ["motif"])
     counts = edit_contexts(texts, k, e).groupBy("context", "seq_id").agg(F.count("*").alias("cnt"))
@@ -39,30 +48,41 @@ def count_occurrences(motifs: DataFrame, texts: DataFrame, params: MotifParams)
     return two_levels(pairs.join(counts, "context"), ["motif"])
 
 
+def count_by_masks(motifs: DataFrame, counts: DataFrame, params: MotifParams) -> DataFrame:
+    """count_occurrences() where the alphabet bounds the words: a motif is in a sequence if one of its masks is.
+
+    Masks of a sequence are few and distinct, the motifs' masks are broadcast, and all is dealt out by sequence, so u
+    needs no shuffle of pairs of motifs and sequences. v needs only the words' totals.
+    """
+    k, e = params.k, params.e
+    hit = counts.select("seq_id", F.explode(masks(F.col("word"), k, e)).alias("mask")).repartition("seq_id").distinct()
+    own = motifs.select("motif", F.explode(masks(F.col("motif"), k, e)).alias("mask"))
+    u = hit.join(F.broadcast(own), "mask").select("motif", "seq_id").distinct().groupBy("motif").agg(F.count("*").alias("u"))
+    totals = counts.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    v = hamming_pairs(motifs, totals.select("word"), k, e).join(totals, "word").groupBy("motif").agg(F.sum("cnt").alias("v"))
+    return u.join(v, "motif").select("motif", "u", "v")
+
+
 def count_structured(motifs: DataFrame, texts: DataFrame, params: MotifParams) -> DataFrame:
-    """b0, b1, ..., u, v for the distinct tuples of motifs. The text's gaps are chosen independently of the motif's."""
+    """b0, b1, ..., u, v for the distinct tuples of motifs. The text's gaps are chosen independently of the motif's.
+
+    Box by box, a text's words give way to the motifs' words near them, and equal rows of a sequence are added up before
+    the next box, so pairs of boxes never meet pairs of boxes.
+    """
     boxes = [f"b{i}" for i in range(len(params.lengths))]
     hamming = params.distance == "hamming"
     counts = structured_tuples(texts, params, context=not hamming).groupBy(*boxes, "seq_id").agg(F.count("*").alias("cnt"))
-    counts = counts.select("seq_id", "cnt", *(F.col(b).alias(f"t{b}") for b in boxes))
-    heads = motifs.select(F.col("b0").alias("motif")).distinct()
-    if hamming:
-        pairs = hamming_pairs(heads, counts.select(F.col("tb0").alias("word")).distinct(), params.k, params.e).withColumnRenamed("word", "tb0")
-    else:
-        pairs = edit_context_pairs(heads, counts.select(F.col("tb0").alias("context")).distinct(), params.k, params.e).withColumnRenamed("context", "tb0")
-    tuples = counts.select(*(f"t{b}" for b in boxes)).distinct()
-    # boxes without errors are further join keys; the others filter
-    rest = list(zip(boxes, params.lengths, params.errors, strict=True))[1:]
-    exact = [b for b, _, e in rest if hamming and e == 0]
-    near = motifs.join(pairs.withColumnRenamed("motif", "b0"), "b0").select("*", *(F.col(b).alias(f"t{b}") for b in exact))
-    both = near.join(tuples, ["tb0", *(f"t{b}" for b in exact)])
-    for b, length, e in (x for x in rest if x[0] not in exact):
+    for i, (b, length, e) in enumerate(zip(boxes, params.lengths, params.errors, strict=True)):
+        own, words = motifs.select(F.col(b).alias("motif")).distinct(), counts.select(F.col(b).alias("text")).distinct()
         if hamming:
-            both = both.filter(mismatches(F.col(b), F.col(f"t{b}"), length) <= e)
+            pairs = hamming_pairs(own, words.withColumnRenamed("text", "word"), length, e).withColumnRenamed("word", "text")
         else:
-            close = edit_context_pairs(motifs.select(F.col(b).alias("motif")).distinct(), counts.select(F.col(f"t{b}").alias("context")).distinct(), length, e)
-            both = both.join(close.select(F.col("motif").alias(b), F.col("context").alias(f"t{b}")), [b, f"t{b}"])
-    return two_levels(both.join(counts, [f"t{b}" for b in boxes]), boxes)
+            pairs = edit_context_pairs(own, words.withColumnRenamed("text", "context"), length, e).withColumnRenamed("context", "text")
+        near = counts.join(pairs, counts[b] == pairs["text"]).drop(b, "text").withColumnRenamed("motif", b)
+        if i:
+            near = near.join(motifs.select(*boxes[: i + 1]).distinct(), boxes[: i + 1], "left_semi")
+        counts = near.groupBy(*boxes, "seq_id").agg(F.sum("cnt").alias("cnt"))
+    return counts.groupBy(*boxes).agg(F.count("*").alias("u"), F.sum("cnt").alias("v"))
 
 
 def thresholds(counts: DataFrame, n: Column, params: MotifParams) -> DataFrame:
@@ -89,10 +109,10 @@ def extract_motifs(sequences: DataFrame, params: MotifParams) -> DataFrame:
             found = thresholds(words.agg(F.count("*").alias("u"), F.sum("cnt").alias("v"), first), n, params)
         else:
             seen = words.agg(first)
-            found = thresholds(count_occurrences(seen.select("motif"), sequences, params), n, params).join(seen, "motif")
+            found = thresholds(count_occurrences(seen.select("motif"), sequences, params, seen=True), n, params).join(seen, "motif")
     return found.select("motif", "u", "num_seqs", "ratio", "v", "first")
 
 
 def dataset_stats(sequences: DataFrame, q: float) -> DataFrame:
     """num_seqs, total_length, quorum (sequences that q percent mean), over the sequences that aren't empty."""
-    return sequences.filter(F.length("seq") > 0).agg(F.count("*").alias("num_seqs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("total_length"), F.ceil(F.lit(float(q)) * F.count("*") / 100.0).cast("long").alias("quorum"))
+    return sequences.filter(F.length("seq") > 0).agg(F.count("*").alias("num_seqs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("total_length"), absolute_quorum(q, F.count("*")).cast("long").alias("quorum"))

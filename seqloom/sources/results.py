@@ -42,13 +42,7 @@ def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, int, float]:
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
-    """motif, u, num_seqs, ratio, v, ordinal of the body of a result or of a list of unmatched motifs."""
+    """motif, u, num_seqs, ratio, v, ordinal (the line) of the body of a result or of a list of unmatched motifs."""
     parts = F.split(F.trim("line"), r"\s+")
     body = lines_of(spark, path).filter("body").select(parts.alias("p"), "number")
-    return body.select(F.col("p")[0].alias("motif"), F.col("p")[1].cast("long").alias("u"), F.col("p")[2].cast("long").alias("num_seqs"), F.col("p")[3].cast("double").alias("ratio"), F.col("p")[4].cast("long").alias("v"), F.row_number().over(_by_number()).alias("ordinal"))
-
-
-def _by_number():
-    from pyspark.sql import Window
-
-    return Window.orderBy("number")
+    return body.select(F.col("p")[0].alias("motif"), F.col("p")[1].cast("long").alias("u"), F.col("p")[2].cast("long").alias("num_seqs"), F.col("p")[3].cast("double").alias("ratio"), F.col("p")[4].cast("long").alias("v"), F.col("number").alias("ordinal"))

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 
 def build_sequences(rows: DataFrame, entity: str, order: list[str], symbol: Column) -> DataFrame:
-    """seq_id (the entity), seq: its symbols in order. Rows without entity or symbol, and so empty sequences, are left out."""
+    """seq_id (the entity), seq: its symbols in order. Rows without entity or symbol, and so empty sequences, are left out.
+
+    A sequence is one string, so one entity's rows come together in one task; there has to be memory for the longest.
+    """
     coded = rows.select(F.col(entity).cast("long").alias("seq_id"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), symbol.alias("symbol")).filter("seq_id IS NOT NULL AND symbol IS NOT NULL AND symbol <> ''")
     in_order = F.array_sort(F.collect_list(F.struct(*(f"o{i}" for i in range(len(order))), "symbol")))
     return coded.groupBy("seq_id").agg(in_order.alias("x")).select("seq_id", F.array_join(F.transform("x", lambda s: s["symbol"]), "").alias("seq"))
 
 
 def coded(column: Column, values: list[str]) -> Column:
-    """Each value as its place in the list."""
-    out = F.when(column == values[0], "0")
-    for i, v in enumerate(values[1:], 1):
+    """Each value as its place in the list; another value is an error, a null stays one."""
+    out = F.when(column.isNull(), F.lit(None).cast("string"))
+    for i, v in enumerate(values):
         out = out.when(column == v, str(i))
-    return out
+    return out.otherwise(F.raise_error(F.concat(F.lit("no symbol for "), column)))
 
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +38,7 @@ def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The letters of whole English texts, upper-cased, and '*': the protein alphabet has all of A-Z."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' AND text IS NOT NULL")
+    """The letters of whole texts, upper-cased, and '*': the protein alphabet has all of A-Z."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")
     seq = F.upper(F.regexp_replace("text", "[^A-Za-z*]", ""))
     return docs.select(F.col("doc_id").alias("seq_id"), seq.alias("seq")).filter(F.length("seq") > 0)
-
-
-def segments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' market segments, one sequence per nation: short sequences over the protein alphabet."""
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return build_sequences(rows, "c_nationkey", ["c_custkey"], F.substring(F.upper("c_mktsegment"), 1, 1))

@@ -24,7 +24,9 @@ def test_pipeline_of_runs(spark, tmp_path):
     main([*BASE, "-i", bg, "-o", at("bg"), "-q", "1", "-S", at("smile")], spark)
     assert "#A total of 14 valid motifs were extracted." in body(tmp_path / "bg") and "Nb models: 14" in body(tmp_path / "smile")
     main([*BASE, "-i", fg, "-o", at("fg"), "-q", "100", "-b", at("bg"), "-u", at("un")], spark)
-    assert "#Matched motifs: 10." in body(tmp_path / "fg") and "#A total of 45 valid motifs were extracted." in body(tmp_path / "un")
+    assert "#  10 of them were matched with background motifs" in body(tmp_path / "fg")
+    assert "#A total of 14 background motifs were read." in body(tmp_path / "un") and "#  45 of them were not matched" in body(tmp_path / "un")
+    assert f"# Input file: {fg}" in body(tmp_path / "fg") and "# Run on 8 proc(s) in " in body(tmp_path / "fg")
     main([*BASE, "-i", bg, "-o", at("fg2"), "-q", "1", "-I", at("un")], spark)
     assert "#A total of 12 valid motifs were extracted." in body(tmp_path / "fg2")
 

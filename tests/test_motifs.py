@@ -7,12 +7,12 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from seqloom.functions.stats import binomial_tail, log_factorials, printed_pvalue, within_quorum
+from seqloom.functions.stats import absolute_quorum, binomial_tail, log_factorials, printed_pvalue, within_quorum
 from seqloom.functions.words import smile_id
-from seqloom.operators import background
-from seqloom.operators.extract import count_occurrences, extract_motifs
+from seqloom.operators import background, extract, windows
+from seqloom.operators.extract import count_occurrences, dataset_stats, extract_motifs
 from seqloom.operators.simulate import accuracy, simulate_single, simulate_structured
-from seqloom.operators.windows import gap_structures, kmer_windows
+from seqloom.operators.windows import edit_contexts, gap_structures, kmer_windows, structured_tuples
 from seqloom.params import ALPHABETS, Box, MotifParams
 from seqloom.plans.similarity import hamming_pairs
 from seqloom.sources import sinks
@@ -116,6 +116,39 @@ def test_equals_brute_force(spark, seed, params):
     assert listed(extract_motifs(frame(spark, seqs), params)) == brute(seqs, params)
 
 
+@pytest.mark.parametrize("masked", [0, 1 << 20])
+def test_masks_and_pairs_count_alike(spark, monkeypatch, masked):
+    monkeypatch.setattr(extract, "MASKED", masked)
+    r = random.Random(6)
+    seqs = ["".join(r.choice("012") for _ in range(r.choice([3, 9, 200]))) for _ in range(20)]
+    params = MotifParams(4, 2, 40, alphabet="USR")
+    assert listed(extract_motifs(frame(spark, seqs), params)) == brute(seqs, params)
+    given = spark.createDataFrame([("0000",), ("00x0",), ("9999",)], "motif string")
+    for seen in (False, True):
+        assert {tuple(x) for x in count_occurrences(given, frame(spark, ["0000", "0110", "00100"]), params, seen).collect()} == {("0000", 3, 4), ("00x0", 3, 4)}
+
+
+def test_windows_do_not_depend_on_stretches(spark, monkeypatch):
+    r = random.Random(5)
+    seqs = frame(spark, ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 2, 3, 7, 8, 9, 30, 200)] + [None])
+    boxes = MotifParams(3, 1, 1, boxes=(Box(0, 2, 4, 2), Box(1, 1, 2, 0)))
+    rows = lambda: [sorted(map(tuple, df.collect())) for df in (kmer_windows(seqs, 3), edit_contexts(seqs, 3, 1), structured_tuples(seqs, boxes), structured_tuples(seqs, boxes, context=True))]
+    whole = []
+    for size in (1, 5, 1000):
+        monkeypatch.setattr(windows, "STRETCH", size)
+        whole.append(rows())
+    assert whole[0] == whole[1] == whole[2]
+    text = {r.seq_id: r.seq or "" for r in seqs.collect()}
+    assert whole[0][0] == sorted((i, j + 2, t[j : j + 3]) for i, t in text.items() for j in range(len(t) - 2))
+
+
+def test_a_long_sequence(spark):
+    """A million symbols in one row."""
+    text = "".join(random.Random(1).choices("ACGT", k=1_000_000))
+    got = extract_motifs(frame(spark, [text]), MotifParams(5, 0, 0, n_max=10**9)).agg(F.sum("v").alias("v"), F.count("*").alias("n")).first()
+    assert (got.v, got.n) == (999_996, 1024)
+
+
 def test_strategies_agree(spark):
     r = random.Random(4)
     words = spark.createDataFrame([(w,) for w in {"".join(r.choice("ACGT") for _ in range(9)) for _ in range(400)}], "word string")
@@ -160,7 +193,10 @@ def test_statistics(spark):
         spark.createDataFrame([(5, 3, 0.5)], "u long, n long, p double").select(binomial_tail(F.col("u"), F.col("n"), F.col("p"))).collect()
     table = [r.log_factorial for r in log_factorials(spark, 6).orderBy("i").collect()]
     assert table == pytest.approx([0, 0, 0.693147180560, 1.791759469228, 3.178053830348, 4.787491742782, 6.579251212010])
-    assert printed_pvalue(1 / 9) == "1.111111112e-01" and printed_pvalue(0.5) == "5.000000000e-01"
+    values = {1 / 9: "1.111111112e-1", 0.5: "5.000000000e-1", 0.49999999999999994: "5.000000000e-1", 1.0: "1.000000000", 0.0: "0", 2 / 3: "6.666666667e-1", 0.99999999999: "1.000000000", 9.9999999991e-5: "1.000000000e-4", 1.23e-30: "1.230000000e-30", 1.2300000001e-300: "1.230000001e-300"}
+    got = spark.createDataFrame([(v,) for v in values], "p double").select("p", printed_pvalue(F.col("p")).alias("x")).collect()
+    assert {r.p: r.x for r in got} == values
+    assert spark.range(1).select(absolute_quorum(7, F.lit(150)).alias("x")).first().x == 11
     assert spark.range(1).select(smile_id(F.lit("GATN_A"), ALPHABETS["DNA"]).alias("x")).first().x == "2034-0"
     assert [tuple(r) for r in gap_structures(spark.range(1), MotifParams(6, 1, 1, boxes=BOXES)).collect()] == [(0, 16, 15), (1, 16, 16), (2, 17, 15), (3, 17, 16)]
 
@@ -179,31 +215,50 @@ def test_background(spark, small, tmp_path):
     assert len(rows) == 12 and [(r.motif, r.fg_u, r.fg_n, r.fg_v, r.bg_ratio, r.bg_v, r.pvalue) for r in rows[:3]] == [("GATAGG", 2, 2, 6, 1.0, 3, 1.0), ("TGCTAT", 2, 2, 2, 1.0, 3, 1.0), ("TATAGT", 2, 2, 2, 1.0, 3, 1.0)]
     with pytest.raises(ValueError):
         background.compare(fg, bg, 3, 0)
-    with pytest.raises(PySparkException):
-        background.research(fg.withColumn("motif", F.lit("AC")), bg_seqs, bg_params).collect()
+    with pytest.raises(ValueError):
+        background.research(fg.withColumn("motif", F.lit("AC")), bg_seqs, bg_params)
 
-    sinks.write_native(bg, str(tmp_path / "bg"), bg_params, bg_seqs)
+    sinks.write_result(bg, bg_params, bg_seqs, str(tmp_path / "bg"))
     again, n, q = read_result(spark, str(tmp_path / "bg"))
     assert (n, q, again.count()) == (3, 1, 14)
-    sinks.write_background(both, str(tmp_path / "fg"), str(tmp_path / "un"), fg_params, small, str(tmp_path / "s"), str(tmp_path / "us"))
-    lines = (tmp_path / "fg" / next(p.name for p in (tmp_path / "fg").glob("part*"))).read_text().split("\n")
-    assert any(x.startswith("GATAGG 2 2 1.000000 6 0 0 1.11111111") for x in lines) and "#Matched motifs: 10." in lines
+    sinks.write_background(both, 14, fg_params, small, *(str(tmp_path / x) for x in ("fg", "un", "s", "us")))
+    said = lambda x: next((tmp_path / x).glob("part*")).read_text()
+    assert "GATAGG 2 2 1.000000 6 0 0 1.111111112e-1\n" in said("fg")
+    end = ["", "#A total of 14 background motifs were read.", "#A total of 55 valid motifs were extracted:"]
+    left = ["#  45 of them were not matched with any background motif.", "", ""]
+    assert said("fg").split("\n")[-7:] == [*end, "#  10 of them were matched with background motifs", *left] and said("un").split("\n")[-6:] == [*end, *left]
+    assert "Nb models: 55\n" in said("s") and "Nb models: 45\n" in said("us")
     un = read_motifs(spark, str(tmp_path / "un"))
     assert [r.motif for r in un.orderBy("ordinal").limit(3).collect()] == ["GATAGG", "ATAGGA", "TAGGAT"] and un.count() == 45
     sinks.write_research(background.research(un, bg_seqs, bg_params), str(tmp_path / "re"), bg_params, bg_seqs)
-    assert "GATAGG 2 2 1.000000 6 1.000000 3 1.000000000e+00" in (next((tmp_path / "re").glob("part*"))).read_text()
+    assert "GATAGG 2 2 1.000000 6 1.000000 3 1.000000000\n" in said("re")
 
 
 def test_sinks(spark, small):
     found = extract_motifs(small, MotifParams(6, 0, 100))
     assert sinks.native_lines(found).first().value == "TAGCTA 3 3 1.000000 4"
     assert sinks.smile_lines(found, ALPHABETS["DNA"]).first().value == "TAGCTA 302130 3\t4".replace("302130", "".join(str(ALPHABETS["DNA"].index(c)) for c in "TAGCTA"))
-    head = sinks.smile_header(MotifParams(6, 1, 67, boxes=SHORT_BOX), small)
-    assert head[0] == "%%% 1 3/3 151 10 10 2 alphabet ACGTN$ 2 4 4 1".ljust(79) and head[1:] == ["", "", "=" * 79]
-    assert sinks.smile_header(MotifParams(3, 0, 50, alphabet="USR"), small)[0].endswith("$" + "=" * 79)
-    assert [len(x) for x in sinks.smile_header(MotifParams(3, 0, 50, alphabet="PROT"), small)] == [159, 0, 79]
-    lines = sinks.native_header(MotifParams(6, 0, 10, q_max=90, n_min=2, n_max=7, boxes=SHORT_BOX), small)
-    assert lines[-1] == "" and len(lines) == 18 and lines[5].split()[2] == "3" and lines[7].split()[3] == "10"
+    stats = dataset_stats(small, 67).first()
+    head = sinks.smile_header(MotifParams(6, 1, 67, boxes=SHORT_BOX), stats)
+    assert head == ["%%% 2 3/3 151 10 10 2 6 6 1 2 4 4 4 1 alphabet ACGTN$".ljust(79), " " * 79, " " * 79, "=" * 79]
+    assert sinks.smile_header(MotifParams(6, 1, 67), stats)[0] == "%%% 1 3/3 151 6 6 1 alphabet ACGTN$".ljust(79)
+    assert sinks.smile_header(MotifParams(3, 0, 50, alphabet="USR"), stats) == ["%%% 1 3/3 151 3 3 0 alphabet 0123456789$" + "=" * 79]
+    assert [len(x) for x in sinks.smile_header(MotifParams(3, 0, 50, alphabet="PROT"), stats)] == [159, 79, 79]
+    run = sinks.Run("a.fa", "o", "b.txt", "now", 4, 2.25)
+    lines = sinks.native_header(MotifParams(6, 0, 10, q_max=90, n_min=2, n_max=7, boxes=SHORT_BOX), 3, run)
+    rule = "#" * 36
+    head = ["# Rundate: now", "# Input file: a.fa", "# Output file: o", "# For 3 input sequences"]
+    assert lines[0] == lines[-2] == rule and lines[2:6] == head and lines[-1] == ""
+    assert lines[6:-2] == ["#     d = 0", "#     q = 10", "#     Q = 90", "#     n = 2", "#     N = 7", "# Number of boxes: 2", "#     l0 = 6", "#     e0 = 0", "#     g1 = [2,4]", "#     l1 = 4", "#     e1 = 1", "# Boxes input file: b.txt", "# Run on 4 proc(s) in 2.250000 secs"]
+    assert len(sinks.native_header(MotifParams(6, 0, 10, "edit"), 3, run)) == 13 and lines[5].split()[2] == "3" and lines[7].split()[3] == "10"
+
+
+def test_a_structured_report_is_whole(spark, small, tmp_path):
+    params = MotifParams(6, 1, 1, boxes=BOXES)
+    sinks.write_result(extract_motifs(small, params), params, small, str(tmp_path / "n"), str(tmp_path / "s"), sinks.Run(began=0.0))
+    native, smile = (next((tmp_path / x).glob("part*")).read_text().split("\n") for x in "ns")
+    assert native[-4:] == ["", "#A total of 132 valid structured motifs were extracted.", "", ""] and "GATAGG_TCCTAC_CGATTAT 1 3 0.333333 1" in native
+    assert smile[4] == "GATAGG_TCCTAC_CGATTAT 203022-311301-1203303 1\t1" and smile[-3] == "Nb models: 132" and len(smile) == 4 + 132 + 3
 
 
 def write(path, text):
@@ -235,7 +290,8 @@ def test_simulation(spark):
     seqs = frame(spark, ["".join(r.choice("ACGT") for _ in range(60)) for _ in range(60)])
     out, motifs = simulate_single(seqs, 8, 0, 1, 20, 10)
     grown = out.join(seqs.withColumnRenamed("seq", "was"), "seq_id").select((F.length("seq") - F.length("was")).alias("n")).collect()
-    assert sum(x.n for x in grown) == 10 * 12 * 8
+    assert sum(x.n for x in grown) == 10 * 12 * 8 and max(x.n for x in grown) <= 10 * 8
+    assert simulate_single(seqs.limit(0), 8, 0, 1, 20, 10)[0].count() == 0
     assert accuracy(motifs, extract_motifs(out, MotifParams(8, 1, 20))).first().accuracy > 0.8
     boxes = (Box(2, 3, 5, 0),)
     out, motifs = simulate_structured(seqs, 6, 0, boxes, 20, 5)
