@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.shared import materialise, whole_text
 
-ZOOM_BITS = 16  # divides 64
+FIRST_BITS, ZOOM_BITS = 16, 8  # of the hash, that the first pass and each further one resolve
 CELLS = 1024  # of a shard, for numbering its rows
 ROW_BYTES = 8
 
@@ -113,9 +113,9 @@ def cuts_of(rows: DataFrame, shards: int) -> list[int]:
     atoms: list[tuple[int, int, int, bool]] = []
     spans, bits = [(-(2**63), 2**63 - 1)], 64
     while spans and bits:
-        bits -= ZOOM_BITS
+        above, bits = bits, bits - (FIRST_BITS if bits == 64 else ZOOM_BITS)
         part = F.shiftright("h", bits)
-        new = (rows if bits == 64 - ZOOM_BITS else rows.filter(F.shiftright("h", bits + ZOOM_BITS).isin([a >> (bits + ZOOM_BITS) for a, _ in spans]))).groupBy(part.alias("part")).agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("size").alias("size"))
+        new = (rows if above == 64 else rows.filter(F.shiftright("h", above).isin([a >> above for a, _ in spans]))).groupBy(part.alias("part")).agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("size").alias("size"))
         atoms = sorted([x for x in atoms if (x[0], x[1]) not in set(spans)] + [(r.a, r.b, r.size, r.a == r.b) for r in new.collect()])
         if not atoms:
             return []

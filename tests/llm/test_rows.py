@@ -4,12 +4,14 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm.bpe import WordBPE, bpe_digests, encode_ids
-from seqloom.llm.exact_dedup import drop_copies, exact_dedup
+from seqloom.llm.exact_dedup import drop_copies, exact_dedup, merged_runs
 from seqloom.llm.queries import tokenizer_path
 from seqloom.llm.sharding import assign_shards, smallest_capacity, walk
 
@@ -44,6 +46,31 @@ def test_bpe_equals_library(spark, sample):
     assert bpe_digests(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_bpe_knows_every_code_point():
+    from tokenizers import Tokenizer
+
+    lib, bpe = Tokenizer.from_file(tokenizer_path()), WordBPE(tokenizer_path())
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 16):
+        texts = [f"a{chr(c)}b1{chr(c)}2 {chr(c)}{chr(c)}'s" for c in points[at : at + (1 << 16)]]
+        ids, ends = bpe.ids_of(pa.array(texts, pa.large_string()))
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert ends.tolist() == [0, *accumulate(map(len, want))] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_bpe_of_random_texts_equals_library():
+    from tokenizers import Tokenizer
+
+    lib, bpe, r = Tokenizer.from_file(tokenizer_path()), WordBPE(tokenizer_path()), random.Random(11)
+    signs = ["a", "e", "th", "ing", "Z", " ", " ", "\t", "\x1c", "\u2003", "\u0301", "é", "Σ", "İ", "ß", "中", "'s", "'ll", "'", "!", "1", "²", "<|", "|>", "<|endoftext|>", "<|STARTOFTEXT|>", "\U0001f600", "x" * 70, "\xa0", "\n"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", None, "ab" * 5000]
+    n, ids, said = bpe.digests(pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        want = lib.encode(t or "", add_special_tokens=False).ids
+        assert n[i] == len(want) and ids[i] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), t
+        assert said[i] == hashlib.sha256(lib.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_bpe_ids(spark, sample):
     bpe = WordBPE(tokenizer_path())
     for r in encode_ids(docs(spark, sample[:20]), tokenizer_path()).collect():
@@ -59,6 +86,7 @@ def test_bpe_merges_like_a_plain_loop():
             rank, i = min(pairs)
             ids[i : i + 2] = [bpe.made[rank]]
         assert bpe.word(word) == ids
+        assert bpe.encode(word) == ids
 
 
 def test_dedup_equals_brute_force(spark, sample):
@@ -75,11 +103,21 @@ def test_dedup_equals_brute_force(spark, sample):
     assert {r.doc_id for r in low} == {min(x) for x in groups.values()}
 
 
+def test_dedup_merges_sorted_runs(spark, sample):
+    entries = docs(spark, sample).select(F.expr("doc_id % 3 AS range"), F.expr("doc_id % 5 AS lane"), F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("check"), F.struct("doc_id").alias("best"), F.expr("1 AS n"))
+    plan = merged_runs(entries)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and plan.count("Sort [") == plan.count("Exchange") == 1
+
+
 def test_dedup_edges(spark):
     got = exact_dedup(docs(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b")])).collect()
     by = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got)
     assert by == {(1, 1, 3, True): 1, (1, 1, 3, False): 1, (None, 1, 3, False): 1, (None, None, 2, True): 1, (None, None, 2, False): 1}
     assert exact_dedup(docs(spark, [])).count() == 0
+    low = exact_dedup(docs(spark, [(-(2**63), "a"), (2**63 - 1, "a"), (None, "a")]), keep="min").filter("kept").collect()
+    assert [r.keep_id for r in low] == [-(2**63)]
+    mixed = drop_copies(docs(spark, [(1, "a"), (2, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "b"), (7, "d")]).withColumn("body0", F.lit(1)))
+    assert sorted(((r.doc_id or 0, r.text) for r in mixed.collect())) == [(0, "c"), (1, "b"), (2, "a"), (7, "d")] and mixed.columns[-1] == "body0"
     left = drop_copies(docs(spark, [(1, "a"), (2, "a"), (3, None), (4, "")]))
     assert sorted(r.doc_id for r in left.collect()) == [2, 4] and left.columns == ["doc_id", "text", "lane", "digest", "h", "n"]
 
