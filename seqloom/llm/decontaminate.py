@@ -1,25 +1,29 @@
-"""Benchmark decontamination: exact edit verification of all stretches that keep enough of an item's word pairs.
-
-Texts are sequences of words (letters and digits, A-Z lower-cased). An item of m words is in a document if some stretch
-of it is within EDITS * m word edits, rounded down, of the item.
-
-1. Windows: a stretch that is near an item keeps most of the item's word pairs, so windows of the item's size with
-   fewer of its pairs than edits can leave are no candidates; that loses none.
-2. The stretch around each window that is left is aligned with the item, bit-parallel over the item's words. Only what
-   is near enough is aligned once more to find where it begins.
-
-embed_keys() and repetitions() are the CGK embedding and bit-sampling LSH. The search doesn't use them: the share of an
-embedding that edits change grows with their number and is largest for early ones, so a number of repetitions loses
-leaks, and the pairs leave few enough windows to align each.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+
+Texts are sequences of words (letters and digits, A-Z lower-cased; in scripts without spaces every character is a word).
+An item of m words is in a document if some stretch of it is within allowed(m) word edits of the item: EDITS * m, rounded
+down, one at least from ONE_EDIT words on, none in shorter items.
+
+1. Windows: every word begins a window of each item's size. A window that is near an item keeps most of the item's
+   word pairs, so windows with fewer of an item's pairs than edits can leave are no candidates; that loses none.
+2. The CGK walk embeds a window: at each step it takes the word it stands on and moves on or stays, as a random bit for
+   step and word says. Sequences at a small edit distance walk into step with each other, so their embeddings are at a
+   small Hamming distance. After several edits a walk is mostly out of step, so each window has walks from several
+   anchors, one more than edits are allowed: near at least one of them there is no edit.
+3. Each of a number of repetitions draws a walk and SAMPLED of its steps; windows and items whose words agree at those
+   from some anchor are candidates. The number is measured for each item size: the least that finds RECALL of edited
+   items, whether edits are spread, clustered, inserted, deleted or changed. An unchanged copy always agrees.
+4. The stretch around each candidate is aligned with the item, bit-parallel over the item's words. Only what is near
+   enough is aligned once more to find where it begins.
 
 The benchmark is the stated query set: it goes to all documents in blocks of BLOCK items, so each broadcast is bounded.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +31,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.shared import materialise, rows_with, small_batches
-from seqloom.llm.words import batch_words, mix, not_alphanumeric, parts
+from seqloom.llm.words import batch_words, mix, not_alphanumeric, parts, unspaced
 
 EDITS = 0.1
-RECALL = 0.99
-HAMMING_SHARE = 0.4  # of an embedding, assumed at the largest distance
+ONE_EDIT = 6  # words from which an item may have one edit
+RECALL = 0.995  # of edited items of the worst kind that is measured
 SAMPLED = 3
-MIN_WORDS = 6
+REACH = 1.5  # steps of a walk that are sampled from, by the words from one anchor to the next
 COMMON = 32
 BLOCK = 20_000
 SCHEMA = "doc_id long, item_id long, distance int, first_word long"
 
 
-def repetitions(recall: float = RECALL, share: float = HAMMING_SHARE, sampled: int = SAMPLED) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** sampled))
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of the first word of each text with the end of the last)."""
+    words, _, bounds = batch_words(column, not_alphanumeric(), unspaced)
+    return words, bounds
 
 
 def allowed(m: int, edits: float) -> int:
-    return int(edits * m)
+    return max(int(edits * m), int(m >= ONE_EDIT))
 
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else np.zeros(0, np.uint64)
 
 
-def embed_keys(windows: np.ndarray, repetition: int, sampled: int = SAMPLED) -> np.ndarray:
-    """A hash of the sampled steps of the CGK walk over each row of windows."""
-    rows, m = windows.shape
-    steps = 3 * m
-    r = np.random.default_rng([repetition, m])
+def steps_of(m: int, k: int) -> int:
+    """Steps of a walk from an anchor that are sampled from. A walk moves by one word at most, so it stays in the window."""
+    return min(m, int(np.ceil(REACH * m / (k + 1))))
+
+
+def anchors(m: int, k: int) -> list[int]:
+    """Where an item's walks begin: evenly, but so that the sampled steps end within the item."""
+    return sorted({min(i * m // (k + 1), m - steps_of(m, k)) for i in range(k + 1)})
+
+
+def walk_keys(words: np.ndarray, at: np.ndarray, repetition: int, steps: int) -> np.ndarray:
+    """A hash of the sampled steps of the CGK walks that begin at these places."""
+    r = np.random.default_rng([repetition, steps])
     salt = r.integers(1, 1 << 63, steps, np.uint64) * np.uint64(2) + np.uint64(1)
-    informative = steps // 2  # by then a walk is about to end, and ended walks agree whatever they read
-    chosen = np.sort(r.choice(informative, min(sampled, informative), replace=False))
-    padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], 1)
-    at, key, every = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.arange(rows)
+    chosen = np.sort(r.choice(steps, min(SAMPLED, steps), replace=False))
+    padded = np.concatenate([words, np.zeros(steps, np.uint64)])
+    at, key = at.copy(), np.zeros(len(at), np.uint64)
     for j in range(int(chosen[-1]) + 1):
-        word = padded[every, at]
+        word = padded[at]
         if j in chosen:
             key = mix(key + word * salt[j])
-        at = np.minimum(at + ((word * salt[j]) >> np.uint64(63)).astype(np.int64), m)
+        at += ((word * salt[j]) >> np.uint64(63)).astype(np.int64)
     return key
 
 
+def edited_copies(m: int, k: int, trials: int) -> Iterator[list[int]]:
+    """Copies of the item 1..m with k edits, by kinds and by the part of the item that has them."""
+    r = np.random.default_rng([m, k])
+    for kind in ("delete", "insert", "change"):
+        for share in (0.0, 1.0, 0.5, 0.2):
+            for _ in range(trials):
+                if share:
+                    places = r.choice(max(k, int(share * m)), k, replace=False)
+                else:  # as even as can be
+                    places = (np.arange(k) * m + r.integers(m)) // k % m
+                copy = list(range(1, m + 1))
+                for at in sorted(map(int, places), reverse=True):
+                    copy[at : at + (kind != "insert")] = [] if kind == "delete" else [int(r.integers(m + 1, 1 << 40))]
+                yield copy
+
+
+@lru_cache(4096)
+def repetitions(m: int, k: int, recall: float = RECALL, trials: int = 16) -> int:
+    """The least number of repetitions that finds this share of edited items of m words, k of them edited, of the worst kind."""
+    if not k:
+        return 1
+    item = mix(np.arange(1, m + 1, dtype=np.uint64))
+    copies = list(edited_copies(m, k, trials))
+    own, steps, hits, tried = np.array(anchors(m, k)), steps_of(m, k), np.zeros(len(copies)), 0
+    between = [0] * steps  # no walk goes from one copy to the next
+    words = mix(np.array([w for c in copies for w in [*c, *between]], np.uint64))
+    of, at = (np.concatenate(x) for x in zip(*((np.full(len(c), i), np.arange(len(c))) for i, c in enumerate(copies)), strict=True))
+    at += np.concatenate([[0], np.cumsum([len(c) + steps for c in copies])])[of]
+    while tried < 512:
+        for tried in range(tried + 1, tried + 33):
+            same = np.isin(walk_keys(words, at, tried, steps), walk_keys(item, own, tried, steps))
+            hits += np.bincount(of[same], minlength=len(copies)) > 0
+        miss = 1 - (hits + 0.5) / (tried + 1)
+        for n in range(1, 2 * tried):
+            if (miss**n).reshape(-1, trials).mean(1).max() <= 1 - recall:
+                return n
+    return 2 * tried
+
+
 def aligned(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     """(least word edits between the item and a part of the stretch, where the part begins): the first such part to end."""
     n = len(stretch)
@@ -120,18 +172,21 @@ def slices(doc: np.ndarray, total: np.ndarray, limit: int = 1 << 21) -> Iterator
         a = b
 
 
+def with_item(key: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(key + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Index:
-    """A block of items, by size and by key of each repetition."""
+    """A block of items: their word pairs, and the keys of their walks by number of steps and repetition."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float, min_words: int):
-        words, _, bounds = batch_words(pa.array([t for _, t in items], pa.large_string()), not_alphanumeric())
+    def __init__(self, items: list[tuple[int, str]], edits: float):
+        words, bounds = tokens(pa.array([t for _, t in items], pa.large_string()))
         self.words = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.ids, self.edits = [i for i, _ in items], edits
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(self.words):
-            if len(w) >= min_words:
-                self.by_size[len(w)].append(k)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.errors = np.array([allowed(m, edits) for m in self.size.tolist()], np.int64)
         self.set_pairs()
+        self.set_walks()
         self.masks: dict[int, dict[int, int]] = {}
 
     def set_pairs(self) -> None:
@@ -140,12 +195,12 @@ class Index:
         A window d edits from the item keeps all but 2d of the item's pairs. Pairs of more than COMMON items don't count
         for an item that can do without them.
         """
-        used = np.array(sorted(k for ks in self.by_size.values() for k in ks), np.int64)
-        own = [pair_hashes(self.words[k]) for k in used]
+        used = np.flatnonzero(self.size > 0)
+        own = [pair_hashes(self.words[k]) if self.size[k] > 1 else mix(self.words[k] + np.uint64(1)) for k in used]
         values, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_inverse=True)
         item = np.repeat(used, [len(x) for x in own])
         in_items = np.bincount(np.unique(np.stack([of, item], 1), axis=0)[:, 0], minlength=len(values)) if len(of) else np.zeros(0, np.int64)
-        spare = self.spare = np.array([4 * allowed(len(w), self.edits) for w in self.words], np.int64)
+        spare = self.spare = 4 * self.errors
         rare = in_items[of] <= COMMON
         n_rare = np.bincount(item[rare], minlength=len(self.words))
         n_all = np.bincount(item, minlength=len(self.words))
@@ -156,18 +211,58 @@ class Index:
         self.pairs, self.pair_items, self.pair_first = values[kept], entries[:, 1], np.append(first, len(entries))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.pairs & np.uint64((1 << 20) - 1)] = True
-        self.size = np.array([len(w) for w in self.words], np.int64)
-
-    def stretches(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        self.singles = bool((self.size == 1).any())
+
+    def set_walks(self) -> None:
+        """Steps of each item's walks; for each number of steps and repetition, the keys of the items' walks with the item, sorted."""
+        self.steps = np.array([steps_of(m, k) for m, k in zip(self.size.tolist(), self.errors.tolist(), strict=True)], np.int64)
+        self.keys: dict[int, list[np.ndarray]] = {}
+        for steps in np.unique(self.steps[self.size > 0]).tolist():
+            own = np.flatnonzero((self.steps == steps) & (self.size > 0))
+            least = max(repetitions(m, k) for m, k in {*zip(self.size[own].tolist(), self.errors[own].tolist(), strict=True)})
+            starts = [anchors(int(self.size[i]), int(self.errors[i])) for i in own]
+            of = np.repeat(own, [len(x) for x in starts])
+            begin = np.cumsum(self.size[own]) - self.size[own]
+            at = np.concatenate([np.array(x, np.int64) + b for x, b in zip(starts, begin, strict=True)])
+            words = np.concatenate([self.words[i] for i in own])
+            self.keys[steps] = [np.unique(with_item(walk_keys(words, at, r, steps), of)) for r in range(least)]
+
+    def candidates(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether, in some repetition, a walk in words low..high-1 agrees with one of the item's."""
+        found = np.zeros(len(item), bool)
+        for steps, keys in self.keys.items():
+            left = np.flatnonzero(self.steps[item] == steps)
+            for r, known in enumerate(keys):
+                if not len(left):
+                    break
+                n = high[left] - low[left]
+                begin = np.cumsum(n) - n
+                at = np.arange(n.sum()) + np.repeat(low[left] - begin, n)
+                key = with_item(walk_keys(words, at, r, steps), np.repeat(item[left], n))
+                same = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                hit = np.logical_or.reduceat(same, begin)
+                found[left[hit]] = True
+                left = left[~hit]
+        return found
+
+    def stretches(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item, first word, end) of what lies around windows that keep enough of the item's pairs, in order, overlapping ones as one."""
-        h = pair_hashes(words)
+        h = np.append(pair_hashes(words), np.uint64(0))
         at = np.flatnonzero(self.maybe[h & np.uint64((1 << 20) - 1)])
-        if not len(at) or not len(self.pairs):
+        if not len(self.pairs) or not len(at) and not self.singles:
             return
         which = np.minimum(np.searchsorted(self.pairs, h[at]), len(self.pairs) - 1)
         doc = np.searchsorted(bounds, at, "right") - 1
         ok = (self.pairs[which] == h[at]) & (at + 1 < bounds[doc + 1])
         at, which, doc = at[ok], which[ok], doc[ok]
+        if self.singles:  # items of one word have that word instead of pairs
+            alone = mix(words + np.uint64(1))
+            spot = np.flatnonzero(np.isin(alone, self.pairs))
+            at = np.concatenate([at, spot])
+            which = np.concatenate([which, np.searchsorted(self.pairs, alone[spot])])
+            doc = np.concatenate([doc, np.searchsorted(bounds, spot, "right") - 1])
+            order = np.argsort(doc, kind="stable")
+            at, which, doc = at[order], which[order], doc[order]
         each = self.pair_first[which + 1] - self.pair_first[which]
         for a, b in slices(doc, np.cumsum(each)):
             n = each[a:b]
@@ -177,22 +272,23 @@ class Index:
             order = np.lexsort((pos, item, of))
             item, pos, of = item[order], pos[order], of[order]
             place = (of * len(self.words) + item) * (len(words) + 1) + pos
-            many = np.searchsorted(place, place + np.minimum(self.size[item] - 1, len(words) - pos)) - np.arange(len(place)) >= self.least[item]
+            many = np.searchsorted(place, place + np.minimum(np.maximum(self.size[item] - 1, 1), len(words) - pos)) - np.arange(len(place)) >= self.least[item]
             item, pos, of = item[many], pos[many], of[many]
             if not len(item):
                 continue
             # The pairs that count may all stand late in the item, so a near stretch may begin its whole length before.
-            reach = self.size[item] + self.spare[item] // 4
+            reach = self.size[item] + self.errors[item]
             low, high = np.maximum(bounds[of], pos - reach), np.minimum(bounds[of + 1], pos + reach)
             first = np.append(True, (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1]))
             last = np.append(first[1:], True)
-            yield from zip(of[first].tolist(), item[first].tolist(), low[first].tolist(), high[last].tolist(), strict=True)
+            yield of[first], item[first], low[first], high[last]
 
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, first word) for each text and item in it."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, item, low, high in self.stretches(words, bounds):
-            m, k = len(self.words[item]), int(self.spare[item]) // 4
+        near = (zip(*(x[self.candidates(words, *some[1:])].tolist() for x in some), strict=True) for some in self.stretches(words, bounds))
+        for d, item, low, high in (x for some in near for x in some):
+            m, k = len(self.words[item]), int(self.errors[item])
             if best.get((d, item), (k + 1,))[0] == 0:
                 continue
             cost, end = nearest_end(self.mask(item), m, words[low:high].tolist())
@@ -211,13 +307,13 @@ class Index:
         return self.masks[item]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", edits: float = EDITS, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs and item in it: doc_id, item_id, distance, first_word (from 0), over whole texts.
 
-    distance is the least number of word edits, at most edits * m; first_word is where the first part with it begins. Items
-    with fewer than min_words words are no evidence and are left out, null items too. Null and empty texts have no
-    rows, as have clean documents; repeated documents give repeated rows; an empty benchmark or table gives none; other
-    columns are not read.
+    distance is the least number of word edits, at most allowed(m, edits); first_word is where the first part with it
+    begins. Items of any length are searched: one of a few words is in every document that says them. Items without a
+    word and null ones are in no document. Null and empty texts have no rows, as have clean documents; repeated
+    documents give repeated rows; an empty benchmark or table gives none; other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
@@ -226,13 +322,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
 
     def search(b: int) -> DataFrame:
         own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).distinct().collect()
-        ship = spark.sparkContext.broadcast(sorted(((r.id, r.text) for r in own), key=lambda x: (x[0] is None, x)))
+        ship = spark.sparkContext.broadcast(Index(sorted(((r.id, r.text) for r in own), key=lambda x: (x[0] is None, x)), edits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(ship.value, edits, min_words)
+            index = ship.value
             for batch in parts(batches):
-                words, _, bounds = batch_words(batch.column(1), not_alphanumeric())
-                got = index.hits(words, bounds) if len(index.by_size) and len(words) > 1 else []
+                words, bounds = tokens(batch.column(1))
+                got = index.hits(words, bounds) if len(words) else []
                 ids = batch.column(0).to_pylist()
                 columns = [[ids[d] for d, *_ in got], [index.ids[i] for _, i, *_ in got], [x[2] for x in got], [x[3] for x in got]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "first_word"])

@@ -8,7 +8,7 @@ between words, so memory doesn't grow with a text's length beyond the text and i
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,6 +58,17 @@ def not_alphanumeric() -> np.ndarray:
     return out
 
 
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of characters that are words of their own, as their scripts don't separate words: Thai, Lao, Burmese, Khmer, kana and Chinese characters."""
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 2 < len(data)]
+    lead, second = data[at], data[at + 1]
+    own = (lead >= 0xE4) & (lead <= 0xE9) | (lead == 0xE3) & (second >= 0x81) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    own |= (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second == 0x9E) | (second == 0x9F)) | (lead == 0xF0) & (second >= 0xA0) & (second <= 0xB2)
+    at = at[own]
+    return at, np.minimum(at + 3 + (data[at] == 0xF0), len(data))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the column's texts, and where each begins, with the end of the last; null is empty."""
     column = pc.fill_null(column, "")
@@ -82,8 +93,21 @@ def word_spans(data: np.ndarray, edges: np.ndarray, sep: np.ndarray) -> tuple[np
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def batch_words(column: pa.Array, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, the words' start bytes, index of the first word of each text with the end of the last)."""
+def apart(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words cut where one of first..last begins and ends."""
+    begin = np.unique(np.concatenate([starts, first, last]))
+    within = np.searchsorted(starts, begin, "right") - 1
+    begin, within = begin[within >= 0], within[within >= 0]
+    inside = begin < ends[within]
+    begin, within = begin[inside], within[inside]
+    return begin, np.minimum(ends[within], np.append(begin[1:], np.iinfo(np.int64).max))
+
+
+def batch_words(column: pa.Array, sep: np.ndarray, alone: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, the words' start bytes, index of the first word of each text with the end of the last).
+
+    alone gives starts and ends of what is a word of its own, apart from what is next to it.
+    """
     data, offsets = text_bytes(column)
     hashes, begins, at = [], [], 0
     while at < len(data):
@@ -99,6 +123,8 @@ def batch_words(column: pa.Array, sep: np.ndarray) -> tuple[np.ndarray, np.ndarr
         part = data[at:end]
         edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
         starts, ends = word_spans(part, edges, sep)
+        if alone and len((own := alone(part))[0]):
+            starts, ends = apart(starts, ends, *own)
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(byte_table()[part] * powers(PIECE if len(part) <= PIECE else len(part), int(BASE))[: len(part)], out=total[1:])
         back = powers(PIECE if len(part) <= PIECE else len(part), int(INVERSE))

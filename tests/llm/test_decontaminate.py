@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from seqloom.llm.decontaminate import allowed, aligned, drop_leaks, embed_keys, find_leaks, repetitions
+from seqloom.llm.decontaminate import Index, aligned, allowed, anchors, drop_leaks, edited_copies, find_leaks, repetitions, steps_of, tokens, walk_keys
+from seqloom.llm.words import word_hash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -58,22 +60,67 @@ def test_equals_brute_force_within_recall(spark):
 def test_edges(spark):
     item = "one two three four five six seven"
     items = spark.createDataFrame([(1, item), (2, None), (3, "short one"), (4, "")], "item_id long, text string")
-    rows = [(1, None, 0), (2, "", 0), (3, item.upper() + "!", 0), (3, item.upper() + "!", 0), (None, f"x {item}", 0), (5, "one two three four five six", 0), (6, "z " * 200_000 + item, 0)]
+    rows = [(1, None, 0), (2, "", 0), (3, item.upper() + "!", 0), (3, item.upper() + "!", 0), (None, f"x {item}", 0), (5, "one two three five six", 0), (7, "one two three four five six", 0), (6, "z " * 200_000 + item, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, distance int")
     got = sorted((r.doc_id or 0, r.item_id, r.distance, r.first_word) for r in find_leaks(df, items).collect())
-    assert got == [(0, 1, 0, 1), (3, 1, 0, 0), (3, 1, 0, 0), (6, 1, 0, 200_000)]
+    assert got == [(0, 1, 0, 1), (3, 1, 0, 0), (3, 1, 0, 0), (6, 1, 0, 200_000), (7, 1, 1, 0)]
     assert sorted((r.doc_id or 0) for r in drop_leaks(df, items).collect()) == [0, 1, 2, 5]
     assert find_leaks(df.limit(0), items).count() == 0 and find_leaks(df, items.limit(0)).count() == 0
 
 
-def test_embedding():
+def test_walks():
     r = np.random.default_rng(0)
-    x = r.integers(1, 1 << 60, (4, 30), np.uint64)
-    near = x.copy()
-    near[:, 7] = 5
-    same = np.mean([embed_keys(x, i) == embed_keys(near, i) for i in range(200)])
-    assert same > 0.3 and np.mean([embed_keys(x, i)[0] == embed_keys(x, i)[1] for i in range(50)]) < 0.1  # all sampled steps may lie past the end
-    assert aligned(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 3, 4])) == (1, 1) and repetitions() >= 19
+    x = r.integers(1, 1 << 60, 400, np.uint64)
+    copy = np.concatenate([r.integers(1, 1 << 60, 7, np.uint64), x[:150], x[151:]])  # moved by 7, and by 6 after a deletion
+    steps = steps_of(400, 40)
+    for i in range(40):
+        one, two = (walk_keys(w, np.arange(len(w)), i, steps) for w in (x, copy))
+        assert (one[: 150 - steps] == two[7 : 157 - steps]).all() and (one[151:-steps] == two[157:-steps]).all()
+        other = walk_keys(r.integers(1, 1 << 60, 400, np.uint64), np.arange(380), i, steps)
+        assert not set(one.tolist()) & set(other.tolist()) and steps <= 15
+    assert all(a + steps_of(m, k) <= m for m in range(1, 60) for k in (0, 1, 2, 5) if k < m for a in anchors(m, k))
+    assert aligned(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 3, 4])) == (1, 1) and repetitions(5, 0) == 1 and repetitions(6, 1) > repetitions(200, 20) > 1
+
+
+def test_lsh_reaches_its_recall():
+    """Of copies with as many edits as are allowed, that repetitions() wasn't measured on."""
+    for m in (6, 8, 10, 15, 24, 45, 130):
+        k = allowed(m, 0.1)
+        index = Index([(0, " ".join(f"w{i}" for i in range(1, m + 1)))], 0.1)
+        tries = found = 0
+        for copy in edited_copies(m, k, 60):
+            text, bounds = tokens(pa.array([" ".join(["a b c", *(f"w{i}" for i in copy), "d e f"])]))
+            found += bool(index.candidates(text, np.array([0]), bounds[:1], bounds[1:])[0])
+            tries += 1
+        assert found >= 0.985 * tries, (m, found, tries)
+
+
+def test_short_items(spark):
+    """Items of 1 to 12 words against brute force: exact ones up to 5 words, one edit from 6 on."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(1 + i % 12))) for i in range(36)]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 50)))) for i in range(60)]
+    for i, t in items:
+        for kind in (0, 1, 2, 3):
+            body = t.split()
+            at = r.randrange(len(body))
+            body[at : at + (kind in (1, 2))] = [[], ["x"], [], ["x"]][kind]
+            docs.append((len(docs), " ".join(["before", *body, "after"])))
+    truth = {(d, i, n) for d, t in docs for i, it in items if (n := least(words(it), words(t))) <= allowed(len(words(it)), 0.1)}
+    got = {(x.doc_id, x.item_id, x.distance) for x in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= truth and {x for x in truth if x[2] == 0} <= got and len(got) >= 0.99 * len(truth)
+    assert {len(items[i][1].split()) for _, i, _ in got} == set(range(1, 13))
+
+
+def test_scripts_without_spaces(spark):
+    chinese, thai = "太阳从东方升起，照亮了整个山谷和河流。", "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
+    items = spark.createDataFrame([(1, chinese), (2, thai), (3, "Ärger mit Ölen über Äpfel naïve façade")], "item_id long, text string")
+    texts = ["前言" + chinese + "后记", "前言" + chinese.replace("东", "西"), "x" + thai + "y", "月亮落下，星星出来了。", "ärger"]
+    got = sorted((r.doc_id, r.item_id, r.distance, r.first_word) for r in find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect())
+    assert [x[:3] for x in got] == [(0, 1, 0), (1, 1, 1), (2, 2, 0)] and got[0][3] == 2
+    mixed, bounds = tokens(pa.array(["ab中文cd é 日x", "文", ""]))
+    assert mixed.tolist() == [word_hash(w) for w in ["ab", "中", "文", "cd", "é", "日", "x", "文"]] and bounds.tolist() == [0, 7, 8, 8]
 
 
 def test_finds_all_edits_of_long_items(spark):
