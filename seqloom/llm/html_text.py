@@ -2,13 +2,15 @@
 
 The page is cut into blocks, each with its root-to-leaf path of block elements (names and classes). Per path, the number
 of characters and of punctuation marks per block are its two ratios; both are smoothed over the blocks in page order
-and fused. Names and classes of menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
-evidence: each such element around a block takes its ratio down to NAMED of it. Paths whose ratio reaches a threshold
-of the page's own spread and level are content.
+and fused. Paths whose ratio reaches a threshold of the page's own spread and level are content.
 
-The article is the smallest element that holds nearly all content text (an article or main element: half of it). What
-else it holds belongs to it, headings and short items too, but for elements with such names and for paths that are
-mostly links. Only scripts, styles, hidden elements, media and inline elements with such names are left out beforehand.
+Names and classes of menus, headers, footers, sidebars, notices, adverts, forms and reader comments are evidence: blocks
+in such elements are left out as long as the others hold LEFT of the page's text, or an article; else the names say
+nothing, as on a page that is one form, and the blocks in one such element count like the others.
+
+The article is the smallest element that holds nearly all content text (an article or main element: half of it), and
+what else it holds, headings and short items too, but for elements with such names and for paths that are mostly links.
+Outside it only a title of the first order counts, unless the article has its own element. Only scripts, styles, hidden elements, media and inline elements with such names are left out beforehand.
 
 Everything takes time in proportion to the page, whatever its nesting.
 """
@@ -20,7 +22,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -31,7 +33,7 @@ from seqloom.llm.shared import small_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-NAMED, FACTOR, LEVEL = 0.05, 0.5, 0.15
+LEFT, FACTOR, LEVEL = 0.02, 0.5, 0.15
 LINKS = 0.5  # share of a path's characters in links from which it counts as a menu
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)|<!--|<[!?]")
 #: The rest of a tag. Quotes count only where a value begins, so a stray one doesn't swallow what follows.
@@ -223,7 +225,7 @@ def smooth(values: list[float]) -> list[float]:
 
 
 def path_ratios(blocks: list[Block]) -> tuple[dict[int, float], float]:
-    """(smoothed, fused and weighted ratio of each path, threshold)."""
+    """(smoothed and fused ratio of each path, threshold)."""
     chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for x in blocks:
         chars[x.path] += len(x.said)
@@ -234,7 +236,7 @@ def path_ratios(blocks: list[Block]) -> tuple[dict[int, float], float]:
     most = max(by_marks) or 1
     fused = defaultdict(float)
     for x, c, m in zip(blocks, by_chars, by_marks, strict=True):
-        fused[x.path] += c * (0.5 + m / most) * NAMED ** min(x.named, 8)
+        fused[x.path] += c * (0.5 + m / most)
     ratio = {p: f / count[p] for p, f in fused.items()}
     n = len(blocks)
     mean = sum(ratio[x.path] for x in blocks) / n
@@ -254,23 +256,43 @@ def home_of(page: Page, kept: list[Block]) -> int:
     return max(named or [k for k, h in enumerate(held) if 10 * h >= 9 * held[0] and page.name[k] not in ("p", "pre", "li", "td", "tr", "ul", "ol", *HEADS)])
 
 
+def within(page: Page, found: Callable[[int], bool]) -> list[bool]:
+    """For each element whether it or one around it is found."""
+    out: list[bool] = []
+    for k, above in enumerate(page.parent):
+        out.append(found(k) or k > 0 and out[above])
+    return out
+
+
+def unnamed(page: Page) -> list[Block]:
+    """The blocks in the fewest elements with names that tell of no content, so few that they hold LEFT of the text or are in an article."""
+    article = within(page, lambda k: page.name[k] in HOMES)
+    total, held = sum(len(x.said) for x in page.blocks), 0
+    for level in sorted({x.named for x in page.blocks}):
+        own = [x for x in page.blocks if x.named == level]
+        held += sum(len(x.said) for x in own)
+        if held >= LEFT * total or any(article[x.element] for x in own):
+            break
+    return [x for x in page.blocks if x.named <= level]
+
+
 def content(page: Page) -> list[Block]:
     """The blocks of content paths, and what else the article holds."""
-    ratio, least = path_ratios(page.blocks)
-    kept = [x for x in page.blocks if ratio[x.path] >= least]
+    blocks = unnamed(page)
+    ratio, least = path_ratios(blocks)
+    kept = [x for x in blocks if ratio[x.path] >= least]
     home = home_of(page, kept)
-    inside = [False] * len(page.parent)
-    for k in range(len(inside)):
-        inside[k] = k == home or k > home and inside[page.parent[k]]
+    inside = within(page, lambda k: k == home)
     links, chars = defaultdict(int), defaultdict(int)
-    for x in page.blocks:
+    for x in blocks:
         links[x.path] += x.links
         chars[x.path] += len(x.said)
-    only = page.name[home] in HOMES
     out = []
-    for x in page.blocks:
-        own = x.named <= page.named[home] and (links[x.path] <= LINKS * chars[x.path] or page.name[x.element] in HEADS)
-        if inside[x.element] and own or ratio[x.path] >= least and (inside[x.element] or not only):
+    for x in blocks:
+        name = page.name[x.element]
+        own = x.named <= page.named[home] and (links[x.path] <= LINKS * chars[x.path] or name in HEADS)
+        title = name == "h1" and not x.links and page.name[home] not in HOMES
+        if inside[x.element] and (own or ratio[x.path] >= least) or title:
             out.append(x)
     return out
 

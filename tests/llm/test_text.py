@@ -4,8 +4,9 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 
-from seqloom.llm.html_text import extract_main_text, main_text
+from seqloom.llm.html_text import extract_main_text, main_text, path_ratios, read_page
 from seqloom.llm.licenses import BASE_PHRASES, compile_template, scan_licenses, skip_leading
 from seqloom.llm.queries import QUERIES
 from seqloom.llm.shared import table
@@ -132,3 +133,58 @@ def test_html_layout_classes_are_no_boilerplate():
     for name in ("content has-sidebar", "no-sidebar", "menu-open", "with_header main"):
         text = main_text(f'<html><body><div class="{name}">{prose}<div class="right-sidebar">Side.</div></div></body></html>')
         assert text.startswith("Sentence 0, ") and "Side" not in text
+
+
+def test_html_of_all_pages_without_the_article_element(spark):
+    """The path ratios find it too; without the advert's class, of most pages, and lose none of it."""
+    import html
+
+    alike = []
+    for r in table(spark, SF, "pages").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<b>", "")
+        want = " ".join(html.unescape(re.sub(r"</?(?:p|br|h1)>", " ", inner)).split())
+        assert main_text(r.html.replace("article>", "div>")) == want
+        bare = main_text(r.html.replace("article>", "div>").replace('class="ad"', ""))
+        alike.append(bare == want)
+        assert want in bare
+    assert sum(alike) > 0.9 * len(alike)
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for piece, n in (("<div>a.", 100_000), ("<a ", 400_000), ("<li><ul>x", 60_000), ("<p>x</div>", 100_000), ('<p>a="b', 100_000), ("<x y='\"", 100_000), ("<span class=ad>q", 100_000)):
+        began = time.process_time()
+        main_text(piece * n)
+        assert time.process_time() - began < 5, piece
+
+
+def test_html_names_count_only_where_they_leave_text():
+    body = "<h1>Title</h1><p>Some long text, with marks. And more of it, here.</p><p>Second one, also long enough, really.</p>"
+    said = "Title Some long text, with marks. And more of it, here. Second one, also long enough, really."
+    nav, foot = "<nav><a href=x>Home</a></nav>", "<div class=footer>Foot, note.</div>"
+    assert main_text(f"<body><form id=f>{nav}<div>{body}</div>{foot}</form></body>") == said
+    assert main_text(f"<body>{nav}<div class=notice>{body}</div></body>") == said
+    assert main_text(f"<body>{nav}<article><header>{body}</header></article>{foot}</body>") == said
+    assert main_text(f"<header>{nav}<h1>Site</h1></header><div>{body}</div>{foot}") == said
+    assert main_text(f"<h1>Title</h1><div>{body.replace('<h1>Title</h1>', '')}</div><div><p>Ad.</p></div>") == said
+    assert main_text("<article><p>Hello <span class=share>Share</span> rest of it.</p></article>") == "Hello rest of it."
+
+
+def path_ratios_by_hand(blocks):
+    """The ratios of the paper's idea, block by block, without running sums."""
+    of = lambda p: [x for x in blocks if x.path == p]
+    chars = [sum(len(y.said) for y in of(x.path)) / len(of(x.path)) for x in blocks]
+    marks = [sum(sum(c in ".,;:!?…。、，؟¿¡" for c in y.said) for y in of(x.path)) / len(of(x.path)) for x in blocks]
+    around = lambda v, i: 0.25 * v[max(i - 1, 0)] + 0.5 * v[i] + 0.25 * v[min(i + 1, len(v) - 1)]
+    most = max(around(marks, i) for i in range(len(blocks))) or 1
+    fused = [around(chars, i) * (0.5 + around(marks, i) / most) for i in range(len(blocks))]
+    return {p: sum(f for f, x in zip(fused, blocks, strict=True) if x.path == p) / len(of(p)) for p in {x.path for x in blocks}}
+
+
+def test_path_ratios_equal_brute_force(spark):
+    for r in table(spark, "/root/testdata/sf0.001", "pages").collect():
+        blocks = read_page(r.html).blocks
+        ratio, least = path_ratios(blocks)
+        want = path_ratios_by_hand(blocks)
+        assert ratio == pytest.approx(want) and least > 0
