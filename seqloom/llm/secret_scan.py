@@ -22,13 +22,13 @@ NEAR = 60  # characters on either side that count as neighbouring words
 VALUE = r"[A-Za-z0-9+/_=.\-]"
 #: Names of credentials, and the beginnings and sizes of keys that have such.
 NAMES = r"(?:pass(?:word|wd)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)"
-PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+PEM = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 KNOWN = rf"AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|xox[abprs]-[A-Za-z0-9-]{{10,}}+|sk_(?:live|test)_[A-Za-z0-9]{{16,}}+|AIza[A-Za-z0-9_-]{{35}}|eyJ[A-Za-z0-9_-]{{8,}}+(?:\.[A-Za-z0-9_-]{{8,}}+){{2,4}}|{PEM}"
 #: A quoted value goes up to its quote, unless another key is in it; a bare one to white space or what ends a value in code, URLs and connection strings.
-QUOTED = "|".join(rf"""{q}(?![^{q}\r\n]*[ \t=:](?:(?:{KNOWN})(?![A-Za-z0-9])|(?i:[\w-]{{0,24}}{NAMES})[=:]))(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})""" for q in "\"'")
+QUOTED = "|".join(rf"""{q}(?![^{q}\r\n]*(?:[ \t=:](?:{KNOWN})(?![A-Za-z0-9])|(?i:{NAMES})[=:]))(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})""" for q in "\"'")
 BARE = r"""(?:[^\x00-\x20\x7f\u00a0\u3000"'`,;()\[\]{}<>|\\&:]|&(?![\w.-]{1,64}=)|:(?!//)){6,}+"""
 CANDIDATE = (
-    rf"""(?i:\b[\w-]{{0,24}}{NAMES}\b["']?[ \t]{{0,4}}(?:=|:)[ \t]{{0,4}})(?:["']?{PEM}|{QUOTED}|["']?{BARE})"""
+    rf"""(?i:{NAMES}\b["']?[ \t]*+(?:=|:)[ \t]*+)(?:["']?{PEM}|{QUOTED}|["']?{BARE})"""
     rf"""|\b(?:{KNOWN})(?![A-Za-z0-9])|{PEM}"""
     rf"""|(?<![A-Za-z0-9+/_=-])(?=[a-zA-Z+/_-]*+[0-9])(?=[0-9+/_-]*+[a-zA-Z])[A-Za-z0-9+/_-]{{20,}}+={{0,2}}(?![A-Za-z0-9+/_=-])"""
 )
@@ -131,32 +131,60 @@ def labelled_findings(spark: SparkSession, n: int = 2400, first: int = 0) -> Dat
     return spark.range(first, first + n).select(text.alias("text"), source.alias("source"), secret.cast("int").alias("label"))
 
 
-def train(labelled: DataFrame, trees: int = 15, depth: int = 6, seed: int = 7) -> Column:
-    """The forest's probability of a secret, as an expression over FEATURES. labelled: text, source, label."""
+#: A tree: the share of secrets at a leaf, or (feature, threshold, tree up to it, tree beyond it).
+Tree = float | tuple[int, float, "Tree", "Tree"]
+
+
+def train(labelled: DataFrame, trees: int = 15, depth: int = 6, seed: int = 7) -> list[Tree]:
+    """A random forest over FEATURES. labelled: text, source, label; a user can keep the trees and pass them to scan_secrets()."""
     rows = with_features(candidates(labelled, ["label"], "text", "source").filter("ordinal = 0")).select("label", *FEATURES)
     made = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(rows).withColumn("label", F.col("label").cast("double"))
     model = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(made.repartition(1))
 
-    def expression(node) -> Column:
+    def plain(node) -> Tree:
         if node.subtreeDepth() == 0:
             stats = list(node.impurityStats().stats())
-            return F.lit(float(stats[1] / (sum(stats) or 1)))
+            return float(stats[1] / (sum(stats) or 1))
         split = node.split()
-        return F.when(F.col(FEATURES[split.featureIndex()]) <= float(split.threshold()), expression(node.leftChild())).otherwise(expression(node.rightChild()))
+        return split.featureIndex(), float(split.threshold()), plain(node.leftChild()), plain(node.rightChild())
+
+    return [plain(t._call_java("rootNode")) for t in model.trees]
+
+
+def score_of(forest: list[Tree]) -> Column:
+    """The forest's probability of a secret, as an expression over FEATURES."""
+
+    def expression(tree: Tree) -> Column:
+        if isinstance(tree, float):
+            return F.lit(tree)
+        feature, threshold, low, high = tree
+        return F.when(F.col(FEATURES[feature]) <= threshold, expression(low)).otherwise(expression(high))
+
+    each = [expression(t) for t in forest]
+    return sum(each[1:], each[0]) / len(each)
+
+
+FITTED: dict[str, list[Tree]] = {}  # on labelled_findings(), by Spark application
+
 
-    forest = [expression(t._call_java("rootNode")) for t in model.trees]
-    return sum(forest[1:], forest[0]) / len(forest)
+def fitted(spark: SparkSession) -> list[Tree]:
+    """The forest of labelled_findings(), which an application fits once."""
+    key = spark.sparkContext.applicationId
+    if key not in FITTED:
+        FITTED[key] = train(labelled_findings(spark))
+    return FITTED[key]
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str | None = "source", labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", forest: list[Tree] | None = None, least: float = 0.5) -> DataFrame:
     """One row per finding with a score of at least least: doc_id, ordinal, start, rule, n_chars, value_sha256, score.
 
-    Whole texts. ordinal counts a text's candidates from 0, start is the candidate's first character, from 0. Secrets
-    themselves aren't returned, only their SHA-256. Null and empty texts have no findings; repeated rows give their
-    findings each; an empty table gives none; without a source column the path says nothing; other columns are not
-    read.
+    Whole texts. ordinal counts a text's candidates from 0, start is the candidate's first character, from 0: of an
+    assigned one the credential's name. Secrets themselves aren't returned, only their SHA-256. Null and empty texts
+    have no findings; repeated rows give their findings each; an empty table gives none; without a source column, or
+    where it is null, the path says nothing; other columns are not read. forest: train()'s, of a user's own findings.
     """
-    score = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"))
+    path = F.col(source) if source in docs.columns else F.lit(None)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), path.cast("string").alias("source"))
+    score = score_of(forest or fitted(docs.sparkSession))
     found = with_features(candidates(rows, ["doc_id"], "text", "source")).withColumn("score", F.round(score, 6))
     return found.filter(F.col("score") >= least).select("doc_id", F.col("ordinal").cast("int").alias("ordinal"), "start", "rule", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score")

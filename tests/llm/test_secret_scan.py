@@ -1,12 +1,13 @@
 """Secret scans: accuracy on labelled findings that training didn't see, all planted ones, and edge cases."""
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import functions as F
 
 from seqloom.llm.queries import QUERIES
-from seqloom.llm.secret_scan import CANDIDATE, MAYBE, candidates, labelled_findings, scan_secrets
+from seqloom.llm.secret_scan import CANDIDATE, COMMON_PAIRS, DIGEST, FAKE, FEATURES, KNOWN, MAYBE, NAMED, NAMES, NEAR, PATHS, WORDS, candidates, fitted, labelled_findings, scan_secrets, train
 from seqloom.llm.shared import table
 
 SF = "/root/testdata/sf0.01"
@@ -45,7 +46,7 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, start int")
     got = scan_secrets(df).collect()
     assert sorted((r.doc_id or 0, r.ordinal, r.start, r.rule) for r in got) == [(0, 0, 0, "known"), (3, 0, 0, "known"), (3, 0, 0, "known")]
-    assert scan_secrets(df.limit(0)).count() == 0 and scan_secrets(df.drop("source"), source=None).count() == 3
+    assert scan_secrets(df.limit(0)).count() == 0 and scan_secrets(df.drop("source")).count() == 3
 
 
 def test_values_of_any_length_are_whole(spark):
@@ -63,3 +64,62 @@ def test_where_values_end(spark):
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
     assert [r.hit for r in sorted(candidates(df, ["doc_id"], "text", "source").collect())] == list(texts.values())
     assert all(re.search(MAYBE, t) for t in texts)
+
+
+def test_names_and_blanks_of_any_length(spark):
+    texts = ["password" + " " * 9 + "=" + " " * 30 + "h8Fk29xLq0Zr", "a_very_long_name_of_an_application_and_its_password=h8Fk29xLq0Zr"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = hashlib.sha256(b"h8Fk29xLq0Zr").hexdigest()
+    assert {(r.doc_id, r.value_sha256) for r in scan_secrets(df).collect()} == {(0, want), (1, want)}
+
+
+def features_by_hand(hit, before, after, source):
+    """(value, rule, features by name) of a candidate, character by character."""
+    assigned = re.match(rf"""(?i:[\w-]*{NAMES}["']?[ \t]*[=:])""", hit)
+    v = re.search(r"""[=:][ \t]*["']?((?s:.*))$""", hit)[1] if assigned else hit
+    size, known = max(len(v), 1), bool(re.fullmatch(KNOWN, v))
+    kind = lambda c: "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else ""
+    left = v.lower()
+    words = len(re.sub("|".join(sorted(WORDS, key=len, reverse=True)), "", left))
+    around = " ".join([before, *([re.match(r"([^=:]*)", hit)[1]] if assigned else []), after])
+    share = [v.count(c) / size for c in dict.fromkeys(v)]
+    repeat, at = 0, 0
+    while at < len(v) - 1:
+        same = v[at] == v[at + 1] and v[at] not in "\n\r"
+        repeat, at = repeat + same, at + 1 + same
+    found = {
+        "f_length": len(v), "f_changes": sum(kind(a) != "" and kind(a) != kind(b) for a, b in zip(v, v[1:])) / size, "f_pairs": sum(left[i : i + 2] in COMMON_PAIRS for i in range(len(v) - 1)) / size,
+        "f_entropy": -sum(x * math.log2(x) for x in share), "f_distinct": len(share) / size, "f_digits": sum("0" <= c <= "9" for c in v) / size, "f_hex": bool(v) and all(c in "0123456789abcdefABCDEF" for c in v),
+        "f_words": (len(v) - words) / size, "f_repeat": repeat / size, "f_path": bool(source and re.search(PATHS, source)), "f_named": bool(re.search(NAMED, around)), "f_fake": bool(re.search(FAKE, f"{around} {v}")),
+        "f_digest": bool(re.search(DIGEST, around)), "f_known": known, "f_assigned": bool(assigned),
+    }
+    return v, "known" if known else "assigned" if assigned else "token", found
+
+
+def by_hand(forest, doc_id, text, source, least=0.5):
+    def walk(tree, x):
+        while not isinstance(tree, float):
+            feature, threshold, low, high = tree
+            tree = low if x[FEATURES[feature]] <= threshold else high
+        return tree
+
+    rows, end, hits = [], 0, list(re.finditer(CANDIDATE, text or ""))
+    for k, m in enumerate(hits):
+        after = text[m.end() : hits[k + 1].start() if k + 1 < len(hits) else len(text)][:NEAR]
+        v, rule, x = features_by_hand(m[0], text[end : m.start()][-NEAR:], after, source)
+        end, score = m.end(), round(sum(walk(t, x) for t in forest) / len(forest), 6)
+        if score >= least:
+            rows.append((doc_id, k, m.start(), rule, len(v), hashlib.sha256(v.encode()).hexdigest(), score))
+    return rows
+
+
+def test_findings_equal_a_forest_walked_by_hand(spark):
+    """The query, and labelled findings of a forest of one's own, against plain Python."""
+    forest = fitted(spark)
+    want = [x for r in table(spark, SF, "documents").collect() for x in by_hand(forest, r.doc_id, r.text, r.source)]
+    assert want and sorted(map(tuple, QUERIES["op1_secret_scan"](spark, SF).collect())) == sorted(want)
+    own = train(labelled_findings(spark, 400, first=7_000), trees=3, depth=3)
+    rows = labelled_findings(spark, 300, first=90_000).withColumn("doc_id", F.monotonically_increasing_id()).collect()
+    got = scan_secrets(spark.createDataFrame(rows), forest=own, least=0.3).collect()
+    want = [x for r in rows for x in by_hand(own, r.doc_id, r.text, r.source, 0.3)]
+    assert len(want) > 100 and sorted((*r[:6], round(r.score, 5)) for r in got) == sorted((*r[:6], round(r[6], 5)) for r in want)
