@@ -27,7 +27,7 @@ from seqloom.llm.words import parts, pieces_of, text_bytes
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 STEP = 1 << 19  # bytes whose subwords are in memory at once
-SAMPLE = 2500  # rows that a model is fitted on, at most
+SAMPLE, SAMPLE_BYTES = 2500, 1 << 26  # rows that a model is fitted on, and bytes of their texts together, at most
 FOLDS = 5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
@@ -145,14 +145,30 @@ def train(texts: list[str], langs: list[str], dims: int = 8, epochs: int = 4, ra
     return model
 
 
+def bounded_rows(rows: DataFrame, sample: int, most: int = SAMPLE_BYTES) -> list:
+    """At most sample rows (h, text, ...) of most bytes of text together, those whose h are least, then the hash of their
+    text; equal ones once. What comes to the driver beforehand is sample hashes and sizes."""
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    taken, total = [], 0
+    for h, own, size in rows.select("h", "own", F.octet_length("text")).orderBy("h", "own").limit(sample).collect():
+        if (h, own) in taken[-1:]:
+            continue
+        total += size
+        if taken and total > most:
+            break
+        taken.append((h, own))
+    if not taken:
+        return []
+    last = taken[-1]
+    near = rows.filter((F.col("h") < last[0]) | (F.col("h") == last[0]) & (F.col("own") <= last[1]))
+    return sorted(near.dropDuplicates(["h", "own"]).drop("own").limit(len(taken)).collect())
+
+
 def fit_on(docs: DataFrame, text: str, lang: str, doc_id: str, sample: int = SAMPLE) -> Model | None:
-    """A model of at most sample rows of docs with text and lang, those whose ids' hashes are least; None without any."""
+    """A model of bounded_rows() of docs with text and lang, by the hashes of their ids; None without any."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    least = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if least is None:
-        return None
-    got = sorted((r.h, r.text, r.lang) for r in rows.filter(F.col("h") <= least).limit(2 * sample).collect())[:sample]
-    return train([t for _, t, _ in got], [x for _, _, x in got])
+    got = bounded_rows(rows, sample)
+    return train([r.text for r in got], [r.lang for r in got]) if got else None
 
 
 LETTER = regex.compile(r"\p{L}")
@@ -193,7 +209,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", doc_id: s
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows of docs whose text identify() doesn't reject, all columns as they are."""
+    """The rows of docs whose text identify() doesn't reject, all columns as they are.
+
+    Null and empty texts and those without a letter are rejected, as is every row without a model. Rows without doc_id
+    are judged like others; repeated rows stay or go together; an empty table gives none.
+    """
     ship, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +224,7 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 
 def known_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """accepted() with a model fitted on rows whose crc32(doc_id) modulo 5 isn't 0."""
+    """accepted() with a model fitted on rows with text and lang whose crc32(doc_id) modulo 5 isn't 0; a null doc_id's is 0."""
     return accepted(docs, fit_on(docs.filter(fold(doc_id, FOLDS) != 0), text, lang, doc_id, sample), text)
 
 

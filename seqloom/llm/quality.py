@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.langid import fold
+from seqloom.llm.langid import bounded_rows, fold
 from seqloom.llm.shared import small_batches
 from seqloom.llm.words import batch_words, parts, pieces_of, text_bytes, white_space
 
@@ -118,14 +118,14 @@ class AttentionMIL:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, sample: int = SAMPLE) -> AttentionMIL | None:
-    """A model of at most sample labelled documents, those whose ids' hashes are least; None without both labels."""
+    """A model of bounded_rows() of the sample labelled documents whose ids' hashes are least; None without both labels."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
     chosen = [(r.id, r.y) for r in known.filter((fold("id", FOLDS) != 1)).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     if len({y for _, y in chosen}) < 2:
         return None
     y_of = dict(chosen)
-    got = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter(F.col("id").isin(list(y_of)) & F.col("text").isNotNull()).limit(2 * sample).collect()
-    got = sorted({r.id: r.text for r in got}.items())
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter(F.col("id").isin(list(y_of)) & F.col("text").isNotNull())
+    got = sorted((r.id, r.text) for r in bounded_rows(rows.withColumn("h", F.xxhash64("id")), sample))
     if len({y_of[i] for i, _ in got}) < 2:
         return None
     x, bounds = passages(pa.array([t for _, t in got], pa.large_string()))
