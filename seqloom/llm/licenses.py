@@ -30,9 +30,24 @@ TEMPLATES = {
     "mit": [
         "released under the mit license",
         "licensed under the [[ terms of the ]] mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is"
+        " furnished to do so subject to the following conditions the above copyright notice and this permission notice [[ including the next paragraph ]] shall be included in all copies or"
+        " substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"
+        " fitness for a particular purpose and noninfringement in no event shall {{1..8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
     ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "isc": ["permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "bsd": [
+        "released under the [[ terms of the ]] {{0..3}} bsd license",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[ 1 ]] redistributions of source code must"
+        " retain the above copyright notice this list of conditions and the following disclaimer [[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of"
+        " conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[ [[ 3 ]] neither the name of {{0..12}} nor the names of its"
+        " contributors may be used to endorse or promote products derived from this software without specific prior written permission ]] this software is provided by {{1..8}} as is and any"
+        " express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ],
+    "lgpl": ["terms of the gnu [[ lesser ]] [[ library ]] general public license as published by the free software foundation either version {{1..2}} of the license"],
+    "agpl-3.0": ["terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"],
     "gpl-2.0": [
         "[[ this {{1..3}} is ]] licensed under the gnu general public license version 2",
         "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license",

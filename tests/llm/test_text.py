@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from seqloom.llm.html_text import extract_main_text, main_text, path_ratios, read_page
-from seqloom.llm.licenses import BASE_PHRASES, compile_template, scan_licenses, skip_leading
+from seqloom.llm.licenses import BASE_PHRASES, TEMPLATES, compile_template, scan_batch, scan_licenses, skip_leading
 from seqloom.llm.queries import QUERIES
 from seqloom.llm.shared import table
 from seqloom.llm.words import batch_words, not_alphanumeric, white_space, word_hash
@@ -188,3 +188,15 @@ def test_path_ratios_equal_brute_force(spark):
         ratio, least = path_ratios(blocks)
         want = path_ratios_by_hand(blocks)
         assert ratio == pytest.approx(want) and least > 0
+
+
+def test_license_texts_need_all_their_wording():
+    mit = TEMPLATES["mit"][-1].replace("[[ including the next paragraph ]] ", "").replace("{{1..8}}", "the authors or copyright holders")
+    label = lambda text: scan_batch(pa.array([text]), [(k, *skip_leading(t)) for k, ts in TEMPLATES.items() for t in ts], [])["labels"][0]
+    assert label(f"Copyright (c) me. {mit.upper()} .") == "mit"
+    assert label(mit.replace("the software is provided as is", "the software shall be used for good not evil the software is provided as is")) == ""
+    bsd = re.sub(r"\[\[ (.) \]\]", r"\1.", TEMPLATES["bsd"][-1]).replace("{{0..12}}", "the owner").replace("{{1..8}}", "the copyright holders")
+    two = re.sub(r"\[\[.*?\]\] ", "", bsd)
+    assert label(bsd.replace("[[ ", "").replace(" ]]", "")) == label(two) == "bsd" and label(two.replace("binary form must", "binary form may")) == ""
+    assert label("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License") == "lgpl"
+    assert label("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.") == "isc"
