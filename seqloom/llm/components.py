@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import materialise
+from seqloom.llm.shared import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,10 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         hop = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("via"))
         up = labels.select(F.col("node").alias("via"), F.col("component").alias("above"))
-        new = materialise(hop.join(up, "via", "left").select("node", "was", F.least("via", F.coalesce("above", "via")).alias("component")), "labels")
+        old, new = labels, materialise(hop.join(up, "via", "left").select("node", "was", F.least("via", F.coalesce("above", "via")).alias("component")), "labels")
         labels = new.select("node", "component")
+        labels.written_to = new.written_to
+        discard(old)
         if not new.filter("component <> was").limit(1).count():
+            discard(edges)
             return labels

@@ -9,7 +9,7 @@ similarity of at least the threshold share a shingle within the prefixes of that
    that the bounds on sizes and positions allow. A bucket of more than BUCKET groups yields a star (all with a few
    leaders) and neighbours only.
 3. Pairs of groups expand to pairs of members. Those that a bound on their difference (a map of parities) can't rule
-   out are compared by their whole sets.
+   out are compared by their whole sets: first one of each member, then those that its link doesn't make needless.
 4. Links give components. The members of large buckets are then compared across components in rounds: buckets with one
    first document make one cluster, a cluster is cut into cells of bounded size, and each cell yields for every member
    outside the cluster's main component its nearest few of other components. Verified links join components; the next
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.llm.shared import bounded, materialise, partitions, rows_with, small_batches
+from seqloom.llm.shared import bounded, discard, materialise, partitions, rows_with, small_batches
 from seqloom.llm.words import batch_words, give_back, mix, parts, white_space
 
 SHINGLE = 5
@@ -41,10 +41,9 @@ FREQUENT_FROM = 24  # documents whose prefixes have the shingle
 FREQUENT = 1 << 18  # frequent shingles that are broadcast, 3 MB with their parts
 SPLIT = 2048  # documents of a part of a frequent shingle's bucket, about
 OPEN_ROWS = 1 << 20  # rows of one bucket that are held at once
-CELL = 4096  # members of a cluster that are compared with as many in one place, about
-NEAREST, WIDTH, GROWTH = 16, 1, 8  # of the first round: partners of a member, cells of a member's row; and their growth
-MAP_BITS = 1024  # of the parity map of a set
-MAP = [f"m{i}" for i in range(MAP_BITS // 64)]
+CELL = 1024  # members of a cluster that are compared with as many in one place, about
+NEAREST, WIDTH, GROWTH = 16, 4, 8  # of the first round: partners of a member, cells of a member's row; and their growth
+MAP_BITS = 4, 256, 1 << 17  # of the parity map of a set: for each shingle, at least, at most
 FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -94,20 +93,34 @@ def docs_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 class Frequent:
-    """Sorted frequent shingles, and the number of parts of each one's bucket."""
+    """Sorted frequent shingles, and for those whose buckets have several parts the parts' numbers."""
 
     def __init__(self, tokens: list[int] = (), counts: list[float] = ()):
         found = np.array(tokens, np.int64).view(np.uint64)
         order = np.argsort(found)
-        self.tokens, self.parts = found[order], np.ceil(np.array(counts, float)[order] / SPLIT).astype(np.int32)
-
-    def salts(self, shingles: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The part of the shingle's bucket that the document goes to; -1 where there is only one."""
-        if not len(self.tokens):
-            return np.full(len(shingles), -1, np.int32)
+        self.tokens, self.parts = found[order], np.ceil(np.array(counts, float)[order] / SPLIT).astype(np.uint64)
+        several = np.flatnonzero(self.parts > 1)
+        whole = np.repeat(self.tokens[several], self.parts[several].astype(np.int64))
+        part = np.concatenate([np.zeros(0, np.uint64), *(np.arange(n, dtype=np.uint64) for n in self.parts[several])])
+        of = mix(whole + part)
+        order = np.argsort(of)
+        self.part, self.whole = of[order], whole[order]
+
+    def buckets(self, shingles: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The bucket of each shingle of a document: the shingle, or one of its parts by the document."""
+        if not len(self.part):
+            return shingles
         at = np.minimum(np.searchsorted(self.tokens, shingles), len(self.tokens) - 1)
-        n = np.where(self.tokens[at] == shingles, self.parts[at], 1)
-        return np.where(n > 1, mix(ids.astype(np.int64).view(np.uint64)) % n.astype(np.uint64), -1).astype(np.int32)
+        several = (self.tokens[at] == shingles) & (self.parts[at] > 1)
+        return np.where(several, mix(shingles + mix(ids.astype(np.int64).view(np.uint64)) % self.parts[at]), shingles)
+
+    def shingles(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingle of each bucket, whether it has several parts)."""
+        if not len(self.part):
+            return buckets, np.zeros(len(buckets), bool)
+        at = np.minimum(np.searchsorted(self.part, buckets), len(self.part) - 1)
+        several = self.part[at] == buckets
+        return np.where(several, self.whole[at], buckets), several
 
 
 def frequent_shingles(docs: DataFrame, k: int, percent: int) -> Frequent:
@@ -121,7 +134,7 @@ def frequent_shingles(docs: DataFrame, k: int, percent: int) -> Frequent:
 
     counts = small_batches(docs.select("text")).mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM)
     # by steps of the count, so that what is sorted or collected has a bound: the highest steps that hold FREQUENT at most
-    counts = materialise(counts.select("token", F.floor(F.log2("count") * 16).alias("step")), "counts")
+    counts = materialise(counts.select("token", F.floor(F.log2("count") * 16).alias("step")), "counts")  # few: most shingles are in one text
     least, held = None, 0
     for step in counts.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
         held += step.n
@@ -129,6 +142,7 @@ def frequent_shingles(docs: DataFrame, k: int, percent: int) -> Frequent:
             break
         least = step.step
     rows = counts.filter(F.col("step") >= least).collect() if least is not None else []
+    discard(counts)
     return Frequent([r.token for r in rows], [2 ** ((r.step + 1) / 16) for r in rows])
 
 
@@ -140,16 +154,40 @@ def digests(sets: list[np.ndarray], salt: int) -> pa.Array:
     return signed(mix(np.where(size > 0, total, np.uint64(0)) + size.astype(np.uint64)))
 
 
-def parity_maps(sets: list[np.ndarray]) -> np.ndarray:
-    """For each value of some bits of the hash, whether an odd number of the set's shingles has it, as a row of longs."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bit = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(20)) % np.uint64(MAP_BITS)
-    odd = np.bincount(row * MAP_BITS + bit.astype(np.int64), minlength=len(sets) * MAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, MAP_BITS), axis=1).view(np.int64)
+def parity_map(shingles: np.ndarray) -> bytes:
+    """For each value of some bits of the hash, whether an odd number of the set's shingles has it.
+
+    Two sets differ by at least as many shingles as their maps by bits. A map has a power of two of bits by the set's
+    size; the halves of a larger one, put together by exclusive or, are the map of half the bits.
+    """
+    each, least, most = MAP_BITS
+    bits = min(most, max(least, 1 << (each * len(shingles) - 1).bit_length() if len(shingles) else 0))
+    place = ((shingles >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of maps, as bytes, brought to that width."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def bits_apart(maps: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many bits each of the rows differs from the other map."""
+    width = min(maps.shape[1], other.shape[1])
+    return np.bitwise_count((folded(maps, width) ^ folded(other, width)).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def near_enough(apart, n1, n2, percent: int):
+    """Whether sets of n1 and n2 shingles whose maps are so many bits apart can be similar: similar ones differ by at most
+    (100 - percent) / (100 + percent) of n1 + n2 shingles."""
+    return apart * (100 + percent) <= (100 - percent) * (n1 + n2)
 
 
 def read_sets(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sig and sig2 (of the whole set), grp and grp2 (of its prefix), m0, m1, ... (parity map)."""
+    """doc_id, n, sig and sig2 (of the whole set), grp and grp2 (of its prefix), map (of parities)."""
     names = ["n", "sig", "sig2", "grp", "grp2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +195,14 @@ def read_sets(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
             sets = batch_sets(batch.column(1), k)
             heads = [prefix(s, frequent.value.tokens, percent) for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), digests(sets, 1), digests(sets, 2), digests(heads, 3), digests(heads, 4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(pa.array(c) for c in parity_maps(sets).T)], ["doc_id", *names, *MAP])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([parity_map(s) for s in sets], pa.binary())], ["doc_id", *names, "map"])
 
-    return small_batches(docs).mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in [*names, *MAP]))
+    return small_batches(docs).mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in names) + ", map binary")
 
 
 def prefix_rows(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """token, salt (part of the token's bucket), doc_id, n, pos for each shingle of each prefix."""
-    types = {"token": pa.int64(), "salt": pa.int32(), "doc_id": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
+    """bucket, doc_id, n, pos for each shingle of each prefix."""
+    types = {"bucket": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -174,13 +212,12 @@ def prefix_rows(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
             ids = np.repeat(np.asarray(batch.column(0)), size)
             pos = np.concatenate([np.zeros(0, np.int64), *(np.arange(s) for s in size)])
             n = np.repeat(np.array([len(s) for s in sets], np.int64), size)
-            tokens = np.concatenate([np.zeros(0, np.uint64), *heads])
-            arrays = [tokens.view(np.int64), frequent.value.salts(tokens, ids), ids, n, pos]
+            buckets = frequent.value.buckets(np.concatenate([np.zeros(0, np.uint64), *heads]), ids)
             step = 1 << 16
             for a in range(0, len(pos), step):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + step], t) for x, t in zip(arrays, types.values(), strict=True)], list(types))
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + step], t) for x, t in zip((buckets.view(np.int64), ids, n, pos), types.values(), strict=True)], list(types))
 
-    return small_batches(docs).mapInArrow(run, "token long, salt int, doc_id long, n int, pos int")
+    return small_batches(docs).mapInArrow(run, "bucket long, doc_id long, n int, pos int")
 
 
 def may_match(n1, p1, n2, p2, percent: int):
@@ -202,10 +239,10 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator
         yield pa.Table.from_batches(kept)
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, star: int, near: int, open_rows: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, salt, doc_id, n, pos) sorted by the first three: pairs (a, b), and the rows of large buckets (a, token, lead, n, pos).
+def bucket_pairs(batches: Iterator[pa.RecordBatch], frequent: Frequent, percent: int, bucket: int, star: int, near: int, open_rows: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, doc_id, n, pos) sorted by bucket: pairs (a, b), and the rows of large buckets (a, token, lead, n, pos).
 
-    lead is the first document of the part of the bucket. A bucket in several parts is large.
+    token is the shingle; lead is the smallest document of what is held of the bucket. A bucket in several parts is large.
     """
     types = {"a": pa.int64(), "b": pa.int64(), "token": pa.int64(), "lead": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
 
@@ -217,18 +254,19 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, s
         if ok.any():
             yield out(a=np.minimum(d[i], d[j])[ok], b=np.maximum(d[i], d[j])[ok])
 
-    def work(columns: list[np.ndarray], going_on: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
-        """going_on: the token and part of a large bucket that began in rows before these."""
-        t, part, d, n, p = columns
+    def work(columns: list[np.ndarray], going_on: int | None) -> Iterator[pa.RecordBatch]:
+        """going_on: a large bucket that began in rows before these."""
+        t, d, n, p = columns
         if not len(t):
             return
-        first = np.concatenate([[True], (t[1:] != t[:-1]) | (part[1:] != part[:-1])])
+        first = np.concatenate([[True], t[1:] != t[:-1]])
         begins = np.flatnonzero(first)
         of = np.cumsum(first) - 1
         size, start = np.diff(np.append(begins, len(t)))[of], begins[of]
-        big = (size > bucket) | (part >= 0)
+        token, several = frequent.shingles(t.view(np.uint64))
+        big = (size > bucket) | several
         if going_on is not None:
-            big |= (t == going_on[0]) & (part == going_on[1])
+            big |= t == going_on
         i, lag = np.flatnonzero(size > 1), 1
         while len(i := i[(i - start[i] >= lag) & (~big[i] | (lag <= near))]):
             yield from keep(i, i - lag, d, n, p)
@@ -238,49 +276,62 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int, bucket: int, s
             i = rows[rows - start[rows] > max(s, near)]
             yield from keep(i, start[i] + s, d, n, p)
         if len(rows):
-            yield out(a=d[rows], token=t[rows], lead=d[start[rows]], n=n[rows], pos=p[rows])
+            yield out(a=d[rows], token=token.view(np.int64)[rows], lead=np.minimum.reduceat(d, begins)[of[rows]], n=n[rows], pos=p[rows])
 
-    held = [np.zeros(0, np.int64)] * 5
+    held = [np.zeros(0, np.int64)] * 4
     going_on = None
     for batch in together(batches):
-        columns = [np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held)]
-        t, part = columns[:2]
+        columns = [np.asarray(batch.column(k)) for k in range(4)]
+        order = np.lexsort((columns[1], columns[0]))  # documents in one order in all buckets
+        columns = [np.concatenate([h, x[order]]) for h, x in zip(held, columns, strict=True)]
+        t = columns[0]
         if not len(t):
             continue
         cut = int(np.searchsorted(t, t[-1]))
-        cut += int(np.searchsorted(part[cut:], part[-1]))
         if len(t) - cut <= open_rows:
             yield from work([x[:cut] for x in columns], going_on)
             held = [x[cut:] for x in columns]
             going_on = going_on if cut == 0 else None
         else:  # a bucket that isn't kept whole: its leaders stay, and what follows is compared with them
-            yield from work(columns, (int(t[-1]), int(part[-1])))
-            held, going_on = [x[cut : cut + star] for x in columns], (int(t[-1]), int(part[-1]))
+            yield from work(columns, int(t[-1]))
+            held, going_on = [x[cut : cut + star] for x in columns], int(t[-1])
     yield from work(held, going_on)
     give_back()
 
 
-def size_and_map_allow(percent: int) -> Column:
-    """Whether rows with n and the map of one set, n_y and the map (with _y) of another can be of similar sets.
+def maps_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, n, map of the documents with ids, a written table (doc_id)."""
+    return rows_with(sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "map"), ids, "left_semi")
 
-    Similar sets of n1 and n2 shingles differ by at most (100 - percent) / (100 + percent) of n1 + n2.
-    """
-    apart = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_y"))) for m in MAP)
-    return (percent * F.greatest("n", "n_y") <= 100 * F.least("n", "n_y")) & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_y")))
+
+def members_of(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that size_and_map_allow(), each once."""
-    maps = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", *MAP)
-    one = maps.withColumnRenamed("doc_id", "a").hint("merge")
-    two = maps.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_y") for c in ("n", *MAP))).hint("merge")
-    return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").filter(size_and_map_allow(percent)).select("a", "b").distinct()
+    """The pairs (a, b), a written table, that sizes and maps don't rule out, each once."""
+    ids = members_of(pairs)
+    maps = maps_of(sets, ids)
+    one = maps.select(F.col("doc_id").alias("a"), "n", "map").hint("merge")
+    two = maps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("map").alias("map_b")).hint("merge")
+    both = pairs.join(one, "a").join(two, "b").filter(percent * F.greatest("n", "n_b") <= 100 * F.least("n", "n_b")).select("a", "b", "n", "n_b", "map", "map_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            as_map = lambda column: (np.frombuffer(x, np.uint8)[None] for x in column.to_pylist())
+            apart = np.array([bits_apart(x, y)[0] for x, y in zip(as_map(batch.column(4)), as_map(batch.column(5)), strict=True)], np.int64)
+            ok = pa.array(near_enough(apart, np.asarray(batch.column(2)), np.asarray(batch.column(3)), percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    found = materialise(both.mapInArrow(run, "a long, b long").distinct(), "pairs")
+    discard(ids)
+    return found
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the distinct pairs (a, b), a written table, those whose texts' whole shingle sets are similar, each once for each pair of rows."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = rows_with(docs, materialise(ids, "ids"), "left_semi")
+    ids = members_of(pairs)
+    texts = rows_with(docs, ids, "left_semi")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
@@ -296,7 +347,9 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 mask = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
-    return materialise(small_batches(both).mapInArrow(run, "a long, b long"), "links")
+    links = materialise(small_batches(both).mapInArrow(run, "a long, b long"), "links")
+    discard(ids)
+    return links
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -307,6 +360,13 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b")
 
 
+def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    first, second = (component.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")).hint("merge") for c in ("a", "b"))
+    both = pairs.join(first, "a", "left").join(second, "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def clusters(large: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """cluster, doc_id, n, pos, map for the members of large buckets, each once for each cluster.
 
@@ -317,8 +377,12 @@ def clusters(large: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     whole = part.join(part.groupBy("token").agg(F.min("lead").alias("cluster")), "token")
     rows = large.join(whole.hint("merge"), ["token", "lead"]).groupBy("cluster", "a", "n").agg(F.min("pos").alias("pos"))
     each = rows.join(members.select(F.col("leader").alias("a"), "doc_id"), "a").select("cluster", "doc_id", "n", "pos")
-    maps = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").alias("of"), *MAP).distinct()
-    return materialise(each.join(maps.hint("merge"), "doc_id").filter("n = of").drop("of"), "clusters")
+    each = materialise(each, "cluster-members")
+    ids = materialise(each.select("doc_id").distinct(), "ids")
+    maps = maps_of(sets, ids).withColumnRenamed("n", "of").distinct()
+    found = materialise(each.join(maps.hint("merge"), "doc_id").filter("n = of").drop("of"), "clusters")
+    discard(each, ids)
+    return found
 
 
 def cells(rows: DataFrame, component: DataFrame, width: int) -> DataFrame:
@@ -342,7 +406,7 @@ def cells(rows: DataFrame, component: DataFrame, width: int) -> DataFrame:
     both = F.concat(F.transform(rows_of, lambda j: cell(F.col("x"), j, 0)), F.when(is_open, F.transform(columns_of, lambda i: cell(i, F.col("y"), 1))).otherwise(F.array().cast("array<struct<x:int,y:int,role:int>>")))
     at = F.when(small, F.array(F.when(is_open, cell(F.lit(0), F.lit(0), 2)).otherwise(cell(F.lit(0), F.lit(0), 0)))).otherwise(both)
     dealt = known.withColumn("x", x).withColumn("y", y).withColumn("at", F.explode(at)).withColumn("left", F.col("across") > width)
-    return dealt.select("cluster", "at.x", "at.y", "at.role", "doc_id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "component", "left", *MAP)
+    return dealt.select("cluster", "at.x", "at.y", "at.role", "doc_id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "component", "left", "map")
 
 
 def cell_pairs(batches: Iterator[pa.RecordBatch], percent: int, nearest: int) -> Iterator[pa.RecordBatch]:
@@ -351,14 +415,22 @@ def cell_pairs(batches: Iterator[pa.RecordBatch], percent: int, nearest: int) ->
 
     def work(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
         role, d, n, p, c, left = (rows.column(k).to_numpy() for k in ("role", "doc_id", "n", "pos", "component", "left"))
-        maps = np.stack([rows.column(m).to_numpy() for m in MAP], 1).view(np.uint64)
+        maps = rows.column("map").to_pylist()
+        width = np.array([len(x) for x in maps])
         own, others = np.flatnonzero(role > 0), np.flatnonzero(role != 1)
+        by_width = {w: (at := others[width[others] == w], np.frombuffer(b"".join([maps[j] for j in at]), np.uint8).reshape(-1, w)) for w in np.unique(width[others]).tolist()}
         a, b, more = [], [], bool(left.any()) and len(own) > 0
         for i in own.tolist():
-            ok = others[may_match(n[i], p[i], n[others], p[others], percent) & (c[others] != c[i])]
-            apart = np.bitwise_count(maps[ok] ^ maps[i]).sum(1, dtype=np.int64)
-            near = apart * (100 + percent) <= (100 - percent) * (n[ok] + n[i])
-            ok, apart = ok[near], apart[near] / (n[ok][near] + n[i])
+            this, found = np.frombuffer(maps[i], np.uint8)[None], []
+            for at, rest in by_width.values():
+                can = np.flatnonzero(may_match(n[i], p[i], n[at], p[at], percent) & (c[at] != c[i]))
+                if len(can):
+                    apart = bits_apart(rest[can], this)
+                    near = near_enough(apart, n[at[can]], n[i], percent)
+                    found.append((at[can][near], apart[near] / (n[at[can][near]] + n[i])))
+            if not found:
+                continue
+            ok, apart = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(ok) > nearest:
                 more, ok = True, ok[np.argsort(apart, kind="stable")[:nearest]]
             a.append(np.minimum(d[ok], d[i]))
@@ -416,30 +488,39 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     rest = materialise(sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(first, "doc_id", "left_anti"), "rest")
     dealt = prefix_rows(rows_with(named, rest, "left_anti"), frequent, k, percent)
     limits = percent, BUCKET, STAR, NEAR, OPEN_ROWS
-    found = materialise(dealt.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "doc_id").mapInArrow(lambda batches: bucket_pairs(batches, *limits), "a long, b long, token long, lead long, n int, pos int"), "found")
+    found = materialise(dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: bucket_pairs(batches, frequent.value, *limits), "a long, b long, token long, lead long, n int, pos int"), "found")
 
     groups_of_many = members.filter("size > 1 AND leader = doc_id").select(F.col("leader").alias("a"), F.col("leader").alias("b"))
     group_pairs = found.filter("b IS NOT NULL").select("a", "b").union(groups_of_many).distinct()
-    pairs = materialise(possible(expanded(group_pairs, members), sets, percent), "pairs")
-    links = verify(pairs, named, k, percent)
+    met = materialise(expanded(group_pairs, members).distinct(), "met")
+    pairs = possible(met, sets, percent)
+    tested = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")  # one for each member; the rest wait for its links
+    links = verify(tested, named, k, percent)
     component = components(links)
+    waiting = materialise(apart(pairs.join(tested, ["a", "b"], "left_anti"), component), "waiting")
 
     rows = clusters(found.filter("b IS NULL"), members, sets)
-    nearest, width, left = NEAREST, WIDTH, rows.limit(1).count()
+    discard(cut, rest, found, met)
+    nearest, width, left = NEAREST, WIDTH, True
     while left:
         dealt = cells(rows, component, width).repartition(partitions(spark), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
         late = materialise(dealt.mapInArrow(lambda batches, n=nearest: cell_pairs(batches, percent, n), "a long, b long").distinct(), "late")
-        new = materialise(late.filter("a IS NOT NULL").join(pairs, ["a", "b"], "left_anti"), "new-pairs")
+        new = late.filter("a IS NOT NULL")
+        new = materialise((new if nearest > NEAREST else new.union(waiting).distinct()).join(tested, ["a", "b"], "left_anti"), "new-pairs")
         if new.limit(1).count():
-            links, pairs = links.union(verify(new, named, k, percent)), pairs.union(new)
+            links, tested = links.union(verify(new, named, k, percent)), tested.union(new)
+            discard(component)
             component = components(links)
         left = late.filter("a IS NULL").limit(1).count()
+        discard(late)
         nearest, width = GROWTH * nearest, GROWTH * width
 
     reached = classes.select(*key, "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    of = reached.select(*key, F.coalesce("component", "rep").alias("component"))
+    of = materialise(reached.select(*key, F.coalesce("component", "rep").alias("component")), "components")
+    discard(classes, members, rows, component, pairs, waiting)
     return (
-        sets.join(of.hint("merge"), key, "left")
+        sets.select("doc_id", *key)
+        .join(of.hint("merge"), key, "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     )
 

@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from seqloom.storage import discard, materialise
+
+__all__ = ["bounded", "discard", "materialise", "partitions", "rows_with", "small_batches", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, or a temporary one of our own where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("seqloom.shared.dir", None)
-    if not path:
-        if not conf.get("spark.master", "local").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("seqloom.shared.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: later stages start from files that survive lost executors.
-
-    The table is removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole_text(text: str = "text") -> Column:
     """The text with null as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -49,11 +23,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
-
-
 BROADCAST_IDS = 1_000_000  # ids that are broadcast at most; more are joined by shuffle
 
 

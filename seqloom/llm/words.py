@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21
-SLICE = 1 << 23  # bytes of texts that an operator works on at once
+PIECE = 1 << 19
+SLICE = 1 << 22  # bytes of texts that an operator works on at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from seqloom.llm import ngram_join
@@ -76,6 +77,29 @@ def test_equals_brute_force(spark, monkeypatch, seed, limits):
     assert run(spark, rows) == brute(rows)
 
 
+def test_maps_bound_the_difference():
+    r = np.random.default_rng(4)
+    for n, m in ((3, 5), (60, 64), (200, 300), (900, 1100), (5000, 40_000)):
+        every = r.integers(0, 1 << 63, n + m, np.uint64)
+        one, two = np.unique(every[: m]), np.unique(every[n:])
+        apart = len(np.setxor1d(one, two))
+        maps = [np.frombuffer(ngram_join.parity_map(x), np.uint8)[None] for x in (one, two, one)]
+        assert 0 <= ngram_join.bits_apart(maps[0], maps[1])[0] <= apart and ngram_join.bits_apart(maps[0], maps[2])[0] == 0
+    assert len(ngram_join.parity_map(every[:0])) == 32 and len(ngram_join.parity_map(np.arange(1 << 20, dtype=np.uint64))) == 1 << 14
+    far = [np.frombuffer(ngram_join.parity_map(r.integers(0, 1 << 63, n, np.uint64)), np.uint8)[None] for n in (3000, 3000)]
+    assert not ngram_join.near_enough(ngram_join.bits_apart(*far)[0], 3000, 3000, 75)
+
+
+def test_parts_of_buckets():
+    tokens = [7, -5, 1000]
+    frequent = ngram_join.Frequent(tokens, [100, ngram_join.SPLIT * 3, ngram_join.SPLIT * 2.5])
+    shingles = np.array([7, -5, 1000, 12] * 500, np.int64).view(np.uint64)
+    buckets = frequent.buckets(shingles, np.arange(2000))
+    back, several = frequent.shingles(buckets)
+    assert (back == shingles).all() and (several == np.isin(shingles.view(np.int64), [-5, 1000])).all()
+    assert [len(set(buckets[k::4].tolist())) for k in range(4)] == [1, 3, 3, 1]
+
+
 def test_a_large_group_of_equal_prefixes(spark, monkeypatch):
     """Sets of one size that differ in late shingles only, some of them too much to link with the first."""
     monkeypatch.setattr(ngram_join, "FREQUENT_FROM", 3)
