@@ -49,3 +49,34 @@ def test_stages_in_order(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing columns; then no rows at all."""
+    prose = "The committee met on Tuesday and agreed that the report should be sent to all of its members before the end of the month."
+    other = "Die Sitzung begann am Dienstag, und der Ausschuss beschloss, den Bericht noch vor dem Ende des Monats zu versenden."
+    item = table(spark, SF, "benchmark").filter("text IS NOT NULL").first().text
+    rows = [(i, f"{prose} {i} {i * 7}", "en", "s") for i in range(60)] + [(100 + i, f"{other} {i} {i * 7}", "de", None) for i in range(60)]
+    rows += [(1000, prose, "en", "s"), (1001, prose, None, None), (1001, prose, None, None), (None, prose + " again and again", "en", None), (None, None, None, None), (1003, None, "en", "s"), (1004, "", None, "s"), (1005, f"{prose} {item} {prose}", "en", "s"), (1006, (other + " ") * 2000, "de", None)]
+    docs = spark.createDataFrame([(*r, k, "x", None) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, component_id long, digest string, a double")
+    steps = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        steps.append(materialise(stage(spark, steps[-1], SF), name))
+        assert name == "bpe" or steps[-1].columns == docs.columns
+    kept = [sorted(-1 if r.doc_id is None else r.doc_id for r in x.collect()) for x in steps]
+    assert {1003, 1004} <= set(kept[0]) - set(kept[1]) and kept[1].count(1001) == 2 and 1000 in kept[1] and 1006 in kept[1]
+    assert kept[2].count(1001) == 1 and 1000 not in kept[2] and -1 in kept[2]
+    assert set(kept[3]) >= {0, 100, 1005, -1} and len(kept[3]) < len(kept[2]) - 50
+    assert 1005 not in kept[4] and set(kept[4]) == set(kept[3]) - {1005} and kept[5] == kept[4]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_stages_keep_nulls_that_earlier_ones_would_drop(spark):
+    """Each stage on its own, with null and empty texts and null ids."""
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "", 0), (None, "a b c", 0), (4, "a b c", 0)], "doc_id long, text string, n int")
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: sorted((r.doc_id or 0, r.text or "") for r in stages[name](spark, docs, SF).collect())
+    assert left("exact_dedup") == [(2, ""), (4, "a b c")]
+    assert left("ngram_join") == left("decontaminate") == [(0, ""), (0, "a b c"), (1, ""), (2, ""), (4, "a b c")]
+    assert stages["bpe"](spark, docs, SF).count() == 5
