@@ -32,6 +32,8 @@ def hamming_pairs(motifs: DataFrame, words: DataFrame, k: int, e: int, strategy:
     both = left.join(right, "key")
     if strategy == "seed":
         both = both.filter(mismatches(F.col("motif"), F.col("word"), k) <= e)
+    elif e == 1:  # different words share one mask at most, equal ones all of theirs
+        return motifs.join(words, F.col("motif") == F.col("word")).unionByName(both.filter("motif <> word").select("motif", "word"))
     return both.select("motif", "word").distinct()
 
 
