@@ -21,17 +21,18 @@ def parse_fasta(files: DataFrame, alphabet: str = "DNA") -> DataFrame:
     """
     symbols = re.escape(ALPHABETS.get(alphabet, alphabet))
     value = F.col("value")
-    begun = F.when((F.length(value) > 0) & ~value.startswith(">"), F.raise_error(F.concat(F.lit("not in FASTA format: "), "path"))).otherwise(value)
-    records = files.select("path", F.posexplode(F.regexp_extract_all(begun, F.lit(r">[^\n]*(?:\n[^>]*|$)"), F.lit(0))).alias("place", "record"))
+    begun = ((F.length(value) == 0) | value.startswith(">")).alias("begun")
+    records = files.select("path", begun, F.posexplode_outer(F.regexp_extract_all(value, F.lit(r">[^\n]*(?:\n[^>]*|$)"), F.lit(0))).alias("place", "record"))
     header, body = F.regexp_extract("record", r"^>([^\n]*)", 1), F.regexp_extract("record", r"(?s)^>[^\n]*\n(.*)$", 1)
-    blank = F.when(body.rlike(r"(?s)^\n."), F.raise_error(F.concat(F.lit("not in FASTA format: "), "path"))).otherwise(body)
-    seq = F.upper(F.regexp_replace(blank, "\n", ""))
-    rows = records.select("path", "place", header.alias("header"), seq.alias("seq")).filter(F.length("seq") > 0)
-    checked = rows.withColumn("seq", F.when(F.col("seq").rlike(f"[^{symbols}]"), F.raise_error(F.concat(F.lit("symbol outside the alphabet in "), "path"))).otherwise(F.col("seq")))
-    per_file = rows.groupBy("path").agg(F.count("*").alias("n"))
+    rows = records.select("path", "begun", "place", header.alias("header"), body.alias("body"), F.upper(F.regexp_replace(body, "\n", "")).alias("seq"))
+    # errors are raised in the last projection alone, not in the count of what stands before a file
+    per_file = rows.filter("length(seq) > 0").groupBy("path").agg(F.count("*").alias("n"))
     before = per_file.select("path", (F.sum("n").over(W.orderBy("path")) - F.col("n")).alias("before"))
     place = F.row_number().over(W.partitionBy("path").orderBy("place")) - 1
-    return checked.withColumn("own", place).join(F.broadcast(before), "path").select((F.col("before") + F.col("own")).alias("seq_id"), "header", "seq")
+    numbered = rows.filter("length(seq) > 0 OR NOT begun").withColumn("own", place).join(F.broadcast(before), "path", "left")
+    wrong = F.when(~F.col("begun") | F.col("body").rlike(r"(?s)^\n."), "not in FASTA format: ").when(F.col("seq").rlike(f"[^{symbols}]"), "symbol outside the alphabet in ")
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, "path"))).otherwise(F.col("seq"))
+    return numbered.select((F.coalesce("before", F.lit(0)) + F.col("own")).alias("seq_id"), "header", checked.alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str, alphabet: str = "DNA") -> DataFrame:
