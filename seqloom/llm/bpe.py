@@ -27,8 +27,8 @@ from seqloom.llm.shared import small_batches
 from seqloom.llm.words import give_back, parts, text_bytes
 
 LONG = 64  # symbols; longer words are merged one by one
-SLICE = 1 << 22  # bytes of texts that are encoded at once
-TREES = 1 << 16  # words that are merged at once
+SLICE = 1 << 20  # bytes of texts that are encoded at once
+TREES = 1 << 14  # words that are merged at once
 NONE = 1 << 60
 #: White space beyond ASCII's, as UTF-8.
 SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]

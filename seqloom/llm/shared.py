@@ -40,7 +40,7 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-ARROW_ROWS = 2000
+ARROW_ROWS = 500
 
 
 def small_batches(df: DataFrame) -> DataFrame:
