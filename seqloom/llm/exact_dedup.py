@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.shared import bounded, materialise, partitions, whole_text
 
 FAN_IN = 16
-RANGES = 256  # of a lane, by a digest's first byte
+RANGES = 4  # of a lane for each partition, by a digest's first two bytes
 KEY = ["digest", "n_bytes", "check"]
 
 
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     if keep not in ("max", "min"):
         raise ValueError("keep is 'max' or 'min'")
     spark = docs.sparkSession
-    rounds = rounds_for(partitions(spark), fan_in)
+    rounds, ranges = rounds_for(partitions(spark), fan_in), min(1 << 16, RANGES * partitions(spark))
     body = whole_text(text)
     rows = materialise(
         docs.select(
@@ -65,7 +65,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
             F.monotonically_increasing_id().alias("tag"),
         ),
         "digests",
-    ).withColumns({"lane": F.pmod(F.xxhash64("tag"), F.lit(fan_in**rounds)), "range": F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int") % RANGES})
+    ).withColumns({"lane": F.pmod(F.xxhash64("tag"), F.lit(fan_in**rounds)), "range": F.shiftright(F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("long") * ranges, 16)})
 
     rank = F.col("id") if keep == "max" else F.bitwise_not("id")  # reverses the order without an overflow
     best = F.struct(F.col("id").isNotNull().alias("named"), rank.alias("rank"), F.col("tag").alias("tag"), F.col("id").alias("id"))
