@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from seqloom.operators.simulate import accuracy, simulate_single, simulate_struc
 from seqloom.operators.windows import edit_contexts, gap_structures, kmer_windows, structured_tuples
 from seqloom.params import ALPHABETS, Box, MotifParams
 from seqloom.plans.similarity import hamming_pairs
+from seqloom.queries import PRINTED, printing, tail_sql
 from seqloom.sources import sinks
 from seqloom.sources.fasta import read_fasta, validated
 from seqloom.sources.results import parse_boxes, read_motifs, read_result
@@ -189,6 +191,15 @@ def test_binomial_tail(spark, u, n, p, value):
     assert got == pytest.approx(value, rel=1e-9)
 
 
+def test_pvalues_of_thousands_print_as_in_sql(spark):
+    cases = [(1854, 4500, 0.416), (1812, 4500, 0.44), (1854, 4500, 0.396), (1812, 4500, 0.385333), (1824, 4500, 0.425333), (1866, 4500, 0.376), (1884, 4500, 0.417333), (1830, 4500, 0.446667), (7, 9, 0.3)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x AS SELECT *, " + tail_sql("u", "n", "p", None) + " AS pvalue FROM (VALUES " + ", ".join(f"({u}::BIGINT, {n}::BIGINT, {p}::DOUBLE)" for u, n, p in cases) + ") t(u, n, p)")
+    want = con.execute(f"SELECT u, n, p, {PRINTED} FROM {printing('x')}").fetchall()
+    got = spark.createDataFrame(cases, "u long, n long, p double").select("u", "n", "p", printed_pvalue(binomial_tail(F.col("u"), F.col("n"), F.col("p"))))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_statistics(spark):
     with pytest.raises(PySparkException):
         spark.createDataFrame([(5, 3, 0.5)], "u long, n long, p double").select(binomial_tail(F.col("u"), F.col("n"), F.col("p"))).collect()
