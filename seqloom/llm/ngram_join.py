@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.components import components
+from seqloom.llm.components import components, replaced
 from seqloom.llm.shared import bounded, discard, materialise, partitions, rows_with, small_batches
 from seqloom.llm.words import batch_words, give_back, mix, parts, white_space
 
@@ -361,10 +361,16 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different components."""
+    """The pairs (a, b) of different components, with these (of_a, of_b)."""
     first, second = (component.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")).hint("merge") for c in ("a", "b"))
     both = pairs.join(first, "a", "left").join(second, "b", "left")
-    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    return both.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).filter("of_a <> of_b")
+
+
+def linked(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component, a written table that is used up, with what links (a, b) join. Of links between the same components one is followed."""
+    above = components(apart(links, component).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    return replaced(component, above)
 
 
 def clusters(large: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -497,7 +503,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     tested = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")  # one for each member; the rest wait for its links
     links = verify(tested, named, k, percent)
     component = components(links)
-    waiting = materialise(apart(pairs.join(tested, ["a", "b"], "left_anti"), component), "waiting")
+    discard(links)
+    waiting = materialise(apart(pairs.join(tested, ["a", "b"], "left_anti"), component).select("a", "b"), "waiting")
 
     rows = clusters(found.filter("b IS NULL"), members, sets)
     discard(cut, rest, found, met)
@@ -508,9 +515,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         new = late.filter("a IS NOT NULL")
         new = materialise((new if nearest > NEAREST else new.union(waiting).distinct()).join(tested, ["a", "b"], "left_anti"), "new-pairs")
         if new.limit(1).count():
-            links, tested = links.union(verify(new, named, k, percent)), tested.union(new)
-            discard(component)
-            component = components(links)
+            links, tested = verify(new, named, k, percent), tested.union(new)
+            if links.limit(1).count():
+                component = linked(component, links)
+            discard(links)
         left = late.filter("a IS NULL").limit(1).count()
         discard(late)
         nearest, width = GROWTH * nearest, GROWTH * width

@@ -116,6 +116,28 @@ def test_a_large_group_of_equal_prefixes(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_links_within_a_component_are_not_followed_again(spark, monkeypatch):
+    for name, value in (SMALL | {"BUCKET": 3, "NEAREST": 1, "GROWTH": 2}).items():
+        monkeypatch.setattr(ngram_join, name, value)
+    calls = []
+
+    def recorded(links):
+        calls.append([(r.a, r.b) for r in links.collect()])
+        return components(links)
+
+    monkeypatch.setattr(ngram_join, "components", recorded)
+    rows = make(2)
+    assert run(spark, rows) == brute(rows)
+    low = {}
+    for links in calls:
+        find = lambda i: i if low.get(i, i) == i else find(low[i])
+        assert all(find(a) != find(b) for a, b in links)
+        for a, b in links:
+            x, y = sorted((find(a), find(b)))
+            low[y] = x
+    assert len(calls) > 1
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(empty).count() == 0
