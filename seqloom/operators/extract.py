@@ -63,14 +63,21 @@ def count_by_masks(motifs: DataFrame, counts: DataFrame, params: MotifParams) ->
     return u.join(v, "motif").select("motif", "u", "v")
 
 
+def distinct_texts(sequences: DataFrame) -> DataFrame:
+    """seq_id, seq, times: equal sequences as one, with the smallest seq_id (each has its own). Whatever depends on the symbols only is found once for them."""
+    return sequences.groupBy("seq").agg(F.min("seq_id").alias("seq_id"), F.count("*").alias("times"))
+
+
 def count_structured(motifs: DataFrame, texts: DataFrame, params: MotifParams) -> DataFrame:
     """b0, b1, ..., u, v for the distinct tuples of motifs. The text's gaps are chosen independently of the motif's.
 
     Box by box, a text's words give way to the motifs' words near them, and equal rows of a sequence are added up before
-    the next box, so pairs of boxes never meet pairs of boxes.
+    the next box, so pairs of boxes never meet pairs of boxes. Equal texts go through this as one: their number goes along
+    with the id.
     """
     boxes = [f"b{i}" for i in range(len(params.lengths))]
     hamming = params.distance == "hamming"
+    texts = distinct_texts(texts).select(F.struct("seq_id", "times").alias("seq_id"), "seq")
     counts = structured_tuples(texts, params, context=not hamming).groupBy(*boxes, "seq_id").agg(F.count("*").alias("cnt"))
     for i, (b, length, e) in enumerate(zip(boxes, params.lengths, params.errors, strict=True)):
         own, words = motifs.select(F.col(b).alias("motif")).distinct(), counts.select(F.col(b).alias("text")).distinct()
@@ -82,7 +89,8 @@ def count_structured(motifs: DataFrame, texts: DataFrame, params: MotifParams) -
         if i:
             near = near.join(motifs.select(*boxes[: i + 1]).distinct(), boxes[: i + 1], "left_semi")
         counts = near.groupBy(*boxes, "seq_id").agg(F.sum("cnt").alias("cnt"))
-    return counts.groupBy(*boxes).agg(F.count("*").alias("u"), F.sum("cnt").alias("v"))
+    times = F.col("seq_id.times")
+    return counts.groupBy(*boxes).agg(F.sum(times).alias("u"), F.sum(times * F.col("cnt")).alias("v"))
 
 
 def thresholds(counts: DataFrame, n: Column, params: MotifParams) -> DataFrame:
@@ -99,7 +107,7 @@ def extract_motifs(sequences: DataFrame, params: MotifParams) -> DataFrame:
     n = number_of(sequences)
     if params.boxes:
         boxes = [f"b{i}" for i in range(len(params.lengths))]
-        seen = structured_tuples(sequences, params).groupBy(*boxes).agg(F.min(F.struct("seq_id", "end_pos", "struct_id")).alias("first"))
+        seen = structured_tuples(distinct_texts(sequences), params).groupBy(*boxes).agg(F.min(F.struct("seq_id", "end_pos", "struct_id")).alias("first"))
         counts = count_structured(seen.select(*boxes), sequences, params)
         found = thresholds(counts, n, params).join(seen, boxes).withColumn("motif", F.concat_ws("_", *boxes))
     else:

@@ -191,6 +191,18 @@ def test_binomial_tail(spark, u, n, p, value):
     assert got == pytest.approx(value, rel=1e-9)
 
 
+@pytest.mark.parametrize("distance", ["hamming", "edit"])
+def test_equal_sequences_are_searched_once(spark, monkeypatch, distance):
+    params = MotifParams(3, 1, 1, distance, boxes=(Box(0, 1, 2, 0), Box(1, 2, 2, 1)), alphabet="DNA", n_max=10**9)
+    once = {r.motif: (r.u, r.v) for r in extract_motifs(frame(spark, SMALL), params).collect()}
+    searched = []
+    monkeypatch.setattr(extract, "structured_tuples", lambda texts, *a, **k: searched.append(texts.count()) or structured_tuples(texts, *a, **k))
+    many = extract_motifs(frame(spark, SMALL * 40), params).collect()
+    assert {r.motif: (r.u, r.v) for r in many} == {m: (40 * u, 40 * v) for m, (u, v) in once.items()}
+    assert {r.num_seqs for r in many} == {120} and max(r.first.seq_id for r in many) <= 2
+    assert searched == [3, 3]
+
+
 def test_pvalues_of_thousands_print_as_in_sql(spark):
     cases = [(1854, 4500, 0.416), (1812, 4500, 0.44), (1854, 4500, 0.396), (1812, 4500, 0.385333), (1824, 4500, 0.425333), (1866, 4500, 0.376), (1884, 4500, 0.417333), (1830, 4500, 0.446667), (7, 9, 0.3)]
     con = duckdb.connect()
