@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.storage import discard, materialise
+from seqloom.storage import discard, materialise, small_batches
 
 __all__ = ["bounded", "discard", "materialise", "partitions", "rows_with", "small_batches", "table", "whole_text"]
 
@@ -38,17 +38,3 @@ BROADCAST_ROWS = 100_000  # of a table of a few columns
 def bounded(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it has BROADCAST_ROWS at most."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-ARROW_ROWS = 500
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df as it is; its session then hands whole texts to Python by ARROW_ROWS, unless it has a setting of its own.
-
-    Spark's default of 10,000 rows makes batches of texts that cost each executor several hundred MB outside its heap.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) == 10_000:
-        conf.set(key, ARROW_ROWS)
-    return df

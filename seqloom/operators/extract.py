@@ -11,7 +11,9 @@ from seqloom.functions.stats import absolute_quorum, ratio, within_quorum
 from seqloom.functions.words import masks
 from seqloom.operators.windows import edit_contexts, kmer_windows, structured_tuples
 from seqloom.params import MotifParams
+from seqloom.plans import packed
 from seqloom.plans.similarity import edit_context_pairs, hamming_pairs
+from seqloom.storage import materialise
 
 MASKED = 1 << 20  # words with a mask that are broadcast at most, by the alphabet's size
 
@@ -39,7 +41,7 @@ def count_occurrences(motifs: DataFrame, texts: DataFrame, params: MotifParams,
     k, e = params.k, params.e
     if params.distance == "hamming":
         counts = word_counts(texts, k)
-        if seen and e and len(params.symbols) ** k * comb(k, e) <= MASKED:
+        if seen and e and few_masks(params):
             return count_by_masks(motifs, counts, params)
         pairs = hamming_pairs(motifs, counts.select("word").distinct(), k, e)
         return two_levels(pairs.join(counts, "word"), ["motif"])
@@ -48,6 +50,10 @@ def count_occurrences(motifs: DataFrame, texts: DataFrame, params: MotifParams,
     return two_levels(pairs.join(counts, "context"), ["motif"])
 
 
+def few_masks(params: MotifParams) -> bool:
+    return len(params.symbols) ** params.k * comb(params.k, params.e) <= MASKED
+
+
 def count_by_masks(motifs: DataFrame, counts: DataFrame, params: MotifParams) -> DataFrame:
     """count_occurrences() where the alphabet bounds the words: a motif is in a sequence if one of its masks is.
 
@@ -104,7 +110,14 @@ def extract_motifs(sequences: DataFrame, params: MotifParams) -> DataFrame:
     A motif is a word (structured: the words of all boxes, joined by '_') that occurs literally. u counts sequences with
     an approximate occurrence, v all occurrences. Order by first for the order in which motifs are seen.
     """
-    n = number_of(sequences)
+    counts = None
+    if packed.applies(params) and not few_masks(params):
+        sequences = materialise(sequences.select("seq_id", "seq"), "sequences").filter(F.length("seq") > 0)
+        size, foreign = sequences.agg(F.count("*"), F.coalesce(F.bool_or(F.col("seq").rlike(packed.foreign(params))), F.lit(False))).first()
+        if size and not foreign:
+            own = sequences.agg(F.count_distinct("seq_id")).first()[0] == size
+            counts = packed.count_packed(sequences, size, params, own)
+    n = number_of(sequences) if counts is None else F.lit(size).cast("long")
     if params.boxes:
         boxes = [f"b{i}" for i in range(len(params.lengths))]
         seen = structured_tuples(distinct_texts(sequences), params).groupBy(*boxes).agg(F.min(F.struct("seq_id", "end_pos", "struct_id")).alias("first"))
@@ -115,6 +128,8 @@ def extract_motifs(sequences: DataFrame, params: MotifParams) -> DataFrame:
         first = F.min(F.struct("seq_id", "end_pos")).alias("first")
         if params.e == 0:
             found = thresholds(words.agg(F.count("*").alias("u"), F.sum("cnt").alias("v"), first), n, params)
+        elif counts is not None:  # a left join, which falls away where first isn't read
+            found = thresholds(counts, n, params).join(words.agg(first), "motif", "left")
         else:
             seen = words.agg(first)
             found = thresholds(count_occurrences(seen.select("motif"), sequences, params, seen=True), n, params).join(seen, "motif")

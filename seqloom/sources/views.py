@@ -37,8 +37,16 @@ def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_sequences(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", ["o_orderdate", "o_orderkey"], F.substring("o_orderpriority", 1, 1))
 
 
+OTHERS = "".join(chr(i) for i in range(128) if not chr(i).isalpha() and chr(i) != "*")
+
+
 def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The letters of whole texts, upper-cased, and '*': the protein alphabet has all of A-Z."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")
-    seq = F.upper(F.regexp_replace("text", "[^A-Za-z*]", ""))
-    return docs.select(F.col("doc_id").alias("seq_id"), seq.alias("seq")).filter(F.length("seq") > 0)
+    """The letters of whole texts, upper-cased, and '*': the protein alphabet has all of A-Z.
+
+    translate() takes the ASCII part of the rest in a fraction of the time that a regular expression takes, and the
+    filter looks for the first letter only, so that no text is rewritten twice.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("text").rlike("[A-Za-z*]"))
+    ascii_letters = F.translate("text", OTHERS, "")
+    letters = F.when(F.octet_length(ascii_letters) == F.length(ascii_letters), ascii_letters).otherwise(F.regexp_replace(ascii_letters, "[^A-Za-z*]+", ""))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.upper(letters).alias("seq"))

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from seqloom.functions.stats import absolute_quorum, binomial_tail, log_factorials, printed_pvalue, within_quorum
 from seqloom.functions.words import smile_id
@@ -15,6 +16,7 @@ from seqloom.operators.extract import count_occurrences, dataset_stats, extract_
 from seqloom.operators.simulate import accuracy, simulate_single, simulate_structured
 from seqloom.operators.windows import edit_contexts, gap_structures, kmer_windows, structured_tuples
 from seqloom.params import ALPHABETS, Box, MotifParams
+from seqloom.plans import packed
 from seqloom.plans.similarity import hamming_pairs
 from seqloom.queries import PRINTED, printing, tail_sql
 from seqloom.sources import sinks
@@ -130,6 +132,39 @@ def test_masks_and_pairs_count_alike(spark, monkeypatch, masked):
         assert {tuple(x) for x in count_occurrences(given, frame(spark, ["0000", "0110", "00100"]), params, seen).collect()} == {("0000", 3, 4), ("00x0", 3, 4)}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"SLICE": 8, "PIECE": 2, "BLOCK": 2, "COUNTS": 3, "MOST": 5}, {"SLICE": 64, "PAIRS": 16}])
+@pytest.mark.parametrize("params", [MotifParams(4, 1, 30), MotifParams(5, 1, 10, q_max=60, n_min=3, n_max=40), MotifParams(2, 1, 0, alphabet="ACGU"), MotifParams(3, 1, 5, alphabet="GCA*")])
+def test_packed_words_equal_brute_force(spark, monkeypatch, sizes, params):
+    monkeypatch.setattr(extract, "MASKED", 0)
+    r = random.Random(8)
+    seqs = ["".join(r.choice("ACG") for _ in range(r.choice([1, 4, 9, 70]))) for _ in range(9)] + ["", "A" * 40]
+    texts = frame(spark, [*seqs, None]).repartition(3)
+    for name, size in sizes.items():
+        monkeypatch.setattr(packed, name, size)
+    # Steps run in other processes: here with the sizes set, there with those of the file.
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, step, schema: here(df, step, schema))
+    got = extract_motifs(texts, params)
+    assert "Join" not in got.select("motif", "u", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert listed(got) == brute(seqs, params)
+
+
+def here(df, step, schema):
+    """mapInArrow() in this process."""
+    rows = [x for b in step(iter(df.toArrow().to_batches(max_chunksize=7))) for x in b.to_pylist()]
+    return df.sparkSession.createDataFrame([tuple(x.values()) for x in rows], schema)
+
+
+@pytest.mark.parametrize("text", ["ACGTACGA", "ACXTACGA", "AC\u00e9TACGA"])
+def test_packed_words_keep_to_sequences(spark, monkeypatch, text):
+    """Rows with one seq_id, or with none, are one sequence; symbols outside the alphabet count as they do without packing."""
+    monkeypatch.setattr(extract, "MASKED", 0)
+    rows = spark.createDataFrame([(1, text), (2, "ACGT"), (None, "CCCC"), (1, "ACGA"), (None, "CCCA"), (3, None), (4, "AC")], "seq_id long, seq string").repartition(4)
+    params = MotifParams(4, 1, 0)
+    got = {(x.motif, x.u, x.num_seqs, x.v) for x in extract_motifs(rows, params).collect()}
+    monkeypatch.setattr(packed, "applies", lambda params: False)
+    assert got == {(x.motif, x.u, x.num_seqs, x.v) for x in extract_motifs(rows, params).collect()} and ("CCCC", 1, 6, 2) in got
+
+
 def test_windows_do_not_depend_on_stretches(spark, monkeypatch):
     r = random.Random(5)
     seqs = frame(spark, ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 2, 3, 7, 8, 9, 30, 200)] + [None])
