@@ -11,9 +11,9 @@ from seqloom.functions.stats import absolute_quorum, ratio, within_quorum
 from seqloom.functions.words import masks
 from seqloom.operators.windows import edit_contexts, kmer_windows, structured_tuples
 from seqloom.params import MotifParams
-from seqloom.plans import packed
+from seqloom.plans import marked, packed
 from seqloom.plans.similarity import edit_context_pairs, hamming_pairs
-from seqloom.storage import materialise
+from seqloom.storage import discard, materialise
 
 MASKED = 1 << 20  # words with a mask that are broadcast at most, by the alphabet's size
 
@@ -99,6 +99,16 @@ def count_structured(motifs: DataFrame, texts: DataFrame, params: MotifParams) -
     return counts.groupBy(*boxes).agg(F.sum(times).alias("u"), F.sum(times * F.col("cnt")).alias("v"))
 
 
+def grid_of(texts: DataFrame, params: MotifParams) -> tuple[int, int, marked.Grid | None]:
+    """Of distinct texts (seq, times): the number of sequences, that of texts, and the grid if they are to be counted by marks."""
+    has = [F.bool_or(F.col("seq").contains(c)).alias(f"c{i}") for i, c in enumerate(params.symbols)]
+    number, size, foreign, *found = texts.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*"), F.bool_or(F.col("seq").rlike(packed.foreign(params))), *has).first()
+    if size < marked.LEAST or foreign:
+        return number, size, None
+    grid = marked.Grid(params, "".join(c for c, x in zip(params.symbols, found, strict=True) if x))
+    return number, size, grid if grid.fits() else None
+
+
 def thresholds(counts: DataFrame, n: Column, params: MotifParams) -> DataFrame:
     """Adds num_seqs and ratio, and keeps what lies within the quorum and the total of occurrences."""
     return counts.withColumn("num_seqs", n).filter(within_quorum(F.col("u"), F.col("num_seqs"), params.q, params.q_max) & F.col("v").between(params.n_min, params.n_max)).withColumn("ratio", ratio(F.col("u"), F.col("num_seqs")))
@@ -120,9 +130,19 @@ def extract_motifs(sequences: DataFrame, params: MotifParams) -> DataFrame:
     n = number_of(sequences) if counts is None else F.lit(size).cast("long")
     if params.boxes:
         boxes = [f"b{i}" for i in range(len(params.lengths))]
-        seen = structured_tuples(distinct_texts(sequences), params).groupBy(*boxes).agg(F.min(F.struct("seq_id", "end_pos", "struct_id")).alias("first"))
-        counts = count_structured(seen.select(*boxes), sequences, params)
-        found = thresholds(counts, n, params).join(seen, boxes).withColumn("motif", F.concat_ws("_", *boxes))
+        texts, grid = distinct_texts(sequences), None
+        if marked.applies(params):
+            texts = materialise(distinct_texts(sequences.filter(F.length("seq") > 0)), "texts")
+            number, size, grid = grid_of(texts, params)
+            if grid is None:
+                discard(texts)
+                texts = distinct_texts(sequences)
+        seen = structured_tuples(texts, params).groupBy(*boxes).agg(F.min(F.struct("seq_id", "end_pos", "struct_id")).alias("first"))
+        if grid is None:
+            found = thresholds(count_structured(seen.select(*boxes), sequences, params), n, params).join(seen, boxes)
+        else:  # a left join, which falls away where first isn't read
+            found = thresholds(marked.count_marked(texts, size, grid), F.lit(number).cast("long"), params).join(seen, boxes, "left")
+        found = found.withColumn("motif", F.concat_ws("_", *boxes))
     else:
         words = word_counts(sequences, params.k).withColumnRenamed("word", "motif").groupBy("motif")
         first = F.min(F.struct("seq_id", "end_pos")).alias("first")

@@ -16,7 +16,7 @@ from seqloom.operators.extract import count_occurrences, dataset_stats, extract_
 from seqloom.operators.simulate import accuracy, simulate_single, simulate_structured
 from seqloom.operators.windows import edit_contexts, gap_structures, kmer_windows, structured_tuples
 from seqloom.params import ALPHABETS, Box, MotifParams
-from seqloom.plans import packed
+from seqloom.plans import marked, packed
 from seqloom.plans.similarity import hamming_pairs
 from seqloom.queries import PRINTED, printing, tail_sql
 from seqloom.sources import sinks
@@ -238,6 +238,49 @@ def test_equal_sequences_are_searched_once(spark, monkeypatch, distance):
     assert searched == [3, 3]
 
 
+STRUCTURED = {
+    "smotif_ed_three": MotifParams(3, 1, 1, "edit", alphabet="USR", boxes=(Box(0, 1, 2, 0), Box(1, 2, 2, 1)), n_max=10**9),
+    "errors in every box": MotifParams(3, 2, 10, "edit", alphabet="USR", boxes=(Box(0, 1, 3, 1),)),
+}
+
+
+@pytest.mark.parametrize("slice_", [1 << 21, 12])
+@pytest.mark.parametrize("name", STRUCTURED)
+def test_marks_equal_brute_force(spark, monkeypatch, name, slice_):
+    monkeypatch.setattr(marked, "LEAST", 1)
+    monkeypatch.setattr(marked, "SLICE", slice_)
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, step, schema: here(df, step, schema))
+    r = random.Random(3)
+    seqs = ["".join(r.choice("012") for _ in range(r.choice([2, 5, 9, 17, 40]))) for _ in range(9)]
+    seqs += [*seqs[:3], ""]
+    got = extract_motifs(frame(spark, [*seqs, None]).repartition(3), STRUCTURED[name])
+    assert "Join" not in got.select("motif", "u", "v")._jdf.queryExecution().optimizedPlan().toString()
+    want = brute(seqs, STRUCTURED[name])
+    assert want and listed(got) == want
+
+
+def test_sequences_that_all_differ_meet_no_pairs(spark):
+    """With many sequences of few symbols no row is a pair of a motif and a sequence, and the counts are those of the joins."""
+    params = MotifParams(2, 1, 1, "edit", alphabet="USR", boxes=(Box(0, 1, 2, 1),), n_max=10**9)
+    seqs = ["".join(x) for x in product("012", repeat=7)][: marked.LEAST + 200]
+    got = extract_motifs(frame(spark, seqs), params).select("motif", "u", "v")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    motifs = spark.createDataFrame([("".join(x[:2]), "".join(x[2:])) for x in product("012", repeat=4)], "b0 string, b1 string")
+    joined = {(f"{r.b0}_{r.b1}", r.u, r.v) for r in extract.count_structured(motifs, frame(spark, seqs), params).collect()}
+    assert {tuple(x) for x in got.collect()} == joined
+
+
+def test_marks_are_for_few_symbols(spark, monkeypatch):
+    """Symbols outside the alphabet, or too many words, go by joins."""
+    monkeypatch.setattr(marked, "LEAST", 1)
+    params = MotifParams(2, 1, 1, alphabet="DNA", boxes=(Box(0, 1, 2, 0),))
+    for seqs, most in (["ACGTTA", "ACxTTAGA"], marked.MOTIFS), (["ACGTTA", "GGATTAGA"], 16):
+        monkeypatch.setattr(marked, "MOTIFS", most)
+        got = extract_motifs(frame(spark, seqs), params)
+        assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert listed(got) == brute(seqs, params)
+
+
 def test_pvalues_of_thousands_print_as_in_sql(spark):
     cases = [(1854, 4500, 0.416), (1812, 4500, 0.44), (1854, 4500, 0.396), (1812, 4500, 0.385333), (1824, 4500, 0.425333), (1866, 4500, 0.376), (1884, 4500, 0.417333), (1830, 4500, 0.446667), (7, 9, 0.3)]
     con = duckdb.connect()
