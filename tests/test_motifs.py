@@ -241,6 +241,7 @@ def test_equal_sequences_are_searched_once(spark, monkeypatch, distance):
 STRUCTURED = {
     "smotif_ed_three": MotifParams(3, 1, 1, "edit", alphabet="USR", boxes=(Box(0, 1, 2, 0), Box(1, 2, 2, 1)), n_max=10**9),
     "smotif_ed": MotifParams(3, 1, 5, "edit", alphabet="USR", boxes=(Box(1, 2, 3, 1),), n_max=10**9),
+    "smotif_hd_three": MotifParams(3, 1, 5, alphabet="USR", boxes=(Box(0, 1, 3, 0), Box(1, 2, 2, 1)), n_max=10**9),
     "errors in every box": MotifParams(3, 2, 10, "edit", alphabet="USR", boxes=(Box(0, 1, 3, 1),)),
 }
 
